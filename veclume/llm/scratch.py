@@ -20,10 +20,22 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+#: Rows of an Arrow batch of texts; Spark's default holds tens of MB of them several times over.
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Have texts come to Python in batches of BATCH_ROWS rows at most, where the session asks for larger ones."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 class Scratch:
     """A folder of Parquet tables of one operator's run."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
+        small_batches(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.count = 0

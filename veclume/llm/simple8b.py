@@ -35,7 +35,7 @@ from veclume.llm.tokens import encoder, ids_crc32
 TOKENIZER = "byte_bpe_50k.json"
 BLOCK_IDS = 512
 #: Ids of a file, about.
-FILE_IDS = 2_000_000
+FILE_IDS = 500_000
 MAGIC, VERSION = 0x5438_4253, 1
 ZEROS, ESCAPE = 0, 1
 #: Fixed values of the code: ids a word and bits an id, by selector.

@@ -5,7 +5,7 @@ pre-tokens by vectorised rules for the vocabulary's pattern
 
     's|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+
 
-and the library encodes each distinct pre-token once per worker; texts that
+and the library's model encodes each distinct pre-token once per worker; texts that
 hold an added token's string, and tokenizers with another pre-tokenizer, go
 through the library whole.
 """
@@ -15,6 +15,7 @@ from __future__ import annotations
 import json
 import unicodedata
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -24,14 +25,22 @@ from veclume.llm.textnum import U64, span_hash
 
 #: Distinct pre-tokens kept in a worker; beyond it the cache starts anew.
 CACHE_KEPT = 1_500_000
-#: Longer pre-tokens are encoded by themselves and not kept.
-LONGEST_KEPT = 64
 
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 #: White space beyond the separators that a Unicode \s takes.
 _SPACES = [*range(0x09, 0x0E), 0x85]
 
 
+def _byte_chars() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: printable ones for themselves, others from 256 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+_BYTE_CHARS = _byte_chars()
+
+
 @lru_cache(1)
 def _classes() -> np.ndarray:
     table = np.full(0x110000, OTHER, np.uint8)
@@ -96,6 +105,7 @@ class Encoder:
         spec = json.loads(self.tokenizer.to_str())
         pre, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
         self.fast = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer") and model.get("type") == "BPE" and not model.get("dropout")
+        self.model = self.tokenizer.model
         self.added = [x["content"] for x in spec.get("added_tokens", [])]
         self._reset()
 
@@ -105,13 +115,17 @@ class Encoder:
         self.size = np.zeros(0, np.int64)
         self.pool = np.zeros(0, np.uint32)
 
-    def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
+    def _learn(self, keys: np.ndarray, pieces: list[bytes]) -> None:
         if len(self.known) + len(keys) > CACHE_KEPT:
             self._reset()
-        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        size = np.array([len(e) for e in encoded], np.int64)
+        tokenize = self.model.tokenize
+        ids, size = array("I"), np.zeros(len(pieces), np.int64)
+        for k, piece in enumerate(pieces):
+            tokens = tokenize(piece.decode("latin-1").translate(_BYTE_CHARS))
+            size[k] = len(tokens)
+            ids.extend([t.id for t in tokens])
         at = len(self.pool) + np.cumsum(size) - size
-        self.pool = np.concatenate([self.pool, np.array([i for e in encoded for i in e], np.uint32)])
+        self.pool = np.concatenate([self.pool, np.frombuffer(ids, np.uint32)])
         known, at, size = np.concatenate([self.known, keys]), np.concatenate([self.at, at]), np.concatenate([self.size, size])
         order = np.argsort(known, kind="stable")
         self.known, self.at, self.size = known[order], at[order], size[order]
@@ -145,7 +159,7 @@ class Encoder:
         fresh[inside] = self.known[found[inside]] != uniq[inside]
         new = np.flatnonzero(fresh)
         if new.size:
-            self._learn(uniq[new], [raw[starts[w] : starts[w] + lens[w]].decode("utf-8", "surrogatepass") for w in where[new].tolist()])
+            self._learn(uniq[new], [raw[a : a + n] for a, n in zip(starts[where[new]].tolist(), lens[where[new]].tolist(), strict=True)])
             found = np.searchsorted(self.known, uniq)
         at, size = self.at[found][inverse], self.size[found][inverse]
         end = np.cumsum(size)
