@@ -13,9 +13,11 @@ from math import ceil
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from veclume.functions.vector import hints
 from veclume.operators import kmeans
+from veclume.operators.topk import merge
 from veclume.plans.blocked import knn
 from veclume.sources.changelog import ChangeLog, replay
 
@@ -64,7 +66,9 @@ class VectorIndex:
             out.centroids = np.array(last.centroids, float) if last.centroids else None
             out.seq = last.seq + 1
         if out._there("log"):
-            out.seq = max(out.seq, (out.log.statistics().first().last_seq if out.log.statistics().first().last_seq is not None else -1) + 1)
+            out.log.entries(after=out.base_seq)  # raises at a wrong checksum
+            last = out.log.statistics().first().last_seq
+            out.seq = max(out.seq, (-1 if last is None else last) + 1)
         return out
 
     def _there(self, name: str) -> bool:
@@ -77,8 +81,6 @@ class VectorIndex:
 
     def _numbered(self, df: DataFrame, op: str) -> tuple[DataFrame, int]:
         """Sequence numbers in the order of ids: counts by range, then places within."""
-        from pyspark.sql.window import Window
-
         n = df.count()
         part = F.pmod(F.xxhash64("id"), F.lit(max(1, n // 100_000 + 1)))
         rows = df.withColumn("__p", part)
@@ -123,7 +125,7 @@ class VectorIndex:
         base = self.spark.read.schema(BASE).parquet(f"{self.path}/base/v{self.version}") if self.version else self.spark.createDataFrame([], BASE)
         if not self._there("log"):
             return base
-        changes = self.log.entries(after=self.base_seq)
+        changes = self.log.entries(after=self.base_seq, verify=False)
         moved = changes.where(F.col("op").isin("insert", "remove")).select("id").distinct()
         fresh = replay(changes).withColumn("cluster_id", F.lit(None).cast("int"))
         meta = changes.where("op = 'metadata'").groupBy("id").agg(F.max_by(F.struct("metadata"), "seq").alias("m"))
@@ -175,8 +177,6 @@ class VectorIndex:
             nprobe = nprobe or self.config.nprobe or kmeans.recommended_nprobe(len(self.centroids), self.config.recall)
             listed = kmeans.ivf_search(rows.where("cluster_id is not null"), self.centroids, queries, k, min(nprobe, len(self.centroids)), "id", "id", "vec")
             loose = knn(rows.where("cluster_id is null"), queries, k, "euclidean", "id", "id", "vec")
-            from veclume.operators.topk import merge
-
             return merge([listed, loose], "query_id", ["distance", "id"], k).select("query_id", "rank", "id", "distance")
         return knn(rows, queries, k, self.config.metric, "id", "id", "vec", where)
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-HEADER = struct.Struct("<iiII")
+HEADER, HEADER_SIZE = "<iiII", 16
 TYPES = {0: np.dtype("<f4"), 1: np.dtype("<f2"), 2: np.dtype("i1"), 3: np.dtype("u1")}
 NAMES = {"float32": 0, "float16": 1, "int8": 2, "uint8": 3}
 SCHEMA = "id bigint, vec array<float>"
@@ -26,7 +26,7 @@ BATCH_ROWS = 4096
 
 
 def header(data: bytes) -> tuple[int, int, np.dtype]:
-    count, dim, kind, _ = HEADER.unpack_from(data)
+    count, dim, kind, _ = struct.unpack_from(HEADER, data)
     if count < 0 or dim <= 0 or kind not in TYPES:
         raise ValueError(f"not a vector file: count {count}, dimension {dim}, type {kind}")
     return count, dim, TYPES[kind]
@@ -38,7 +38,7 @@ def encode(vectors: np.ndarray, kind: str = "float32") -> bytes:
     if TYPES[code].kind in "iu":
         info = np.iinfo(TYPES[code])
         x = np.clip(np.rint(x), info.min, info.max)
-    return HEADER.pack(len(x), x.shape[1], code, 0) + x.astype(TYPES[code]).tobytes()
+    return struct.pack(HEADER, len(x), x.shape[1], code, 0) + x.astype(TYPES[code]).tobytes()
 
 
 def _batch(first: int, x: np.ndarray) -> pa.RecordBatch:
@@ -59,7 +59,7 @@ class VectorReader(DataSourceReader):
 
     def _head(self) -> tuple[int, int, np.dtype]:
         with open(self.path, "rb") as f:
-            return header(f.read(HEADER.size))
+            return header(f.read(HEADER_SIZE))
 
     def partitions(self) -> list[Range]:
         count, dim, kind = self._head()
@@ -70,7 +70,7 @@ class VectorReader(DataSourceReader):
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         _, dim, kind = self._head()
         with open(self.path, "rb") as f:
-            f.seek(HEADER.size + partition.first * dim * kind.itemsize)
+            f.seek(HEADER_SIZE + partition.first * dim * kind.itemsize)
             for a in range(partition.first, partition.end, BATCH_ROWS):
                 n = min(BATCH_ROWS, partition.end - a)
                 x = np.frombuffer(f.read(n * dim * kind.itemsize), kind).reshape(n, dim)
@@ -104,8 +104,8 @@ def read_binary(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 raw = data.as_buffer()
-                count, dim, kind = header(raw.slice(0, HEADER.size).to_pybytes())
-                x = np.frombuffer(raw, kind, count * dim, HEADER.size).reshape(count, dim)
+                count, dim, kind = header(raw.slice(0, HEADER_SIZE).to_pybytes())
+                x = np.frombuffer(raw, kind, count * dim, HEADER_SIZE).reshape(count, dim)
                 for a in range(0, count, BATCH_ROWS):
                     part = _batch(a, x[a : a + BATCH_ROWS])
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(part), pa.string()), *part.columns], ["file", "id", "vec"])
