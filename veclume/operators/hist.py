@@ -87,12 +87,11 @@ def cumulative(hist: DataFrame) -> DataFrame:
 def figures(hist: DataFrame) -> DataFrame:
     """mean, sd, skewness, kurtosis (not excess), entropy (bits), mode, median, q1, q3 of bin centres."""
     c = cumulative(hist).withColumn("x", (F.col("low") + F.col("high")) / 2)
-    total = c.agg(F.sum("count").alias("n"), (F.sum(F.col("x") * F.col("count")) / F.sum("count")).alias("mean"))
-    d = F.col("x") - F.col("mean")
-    w = F.col("count") / F.col("n")
-    j = c.join(F.broadcast(total), F.lit(True))  # one row
-    g = j.agg(
-        F.first("mean").alias("mean"), F.sqrt(F.sum(w * d * d)).alias("sd"), F.sum(w * d * d * d).alias("m3"), F.sum(w * d * d * d * d).alias("m4"),
+    n, mean = c.agg(F.sum("count"), F.sum(F.col("x") * F.col("count")) / F.when(F.sum("count") > 0, F.sum("count"))).first()
+    mean = F.lit(mean).cast("double")
+    d, w = F.col("x") - mean, F.col("count") / F.lit(n or 1)
+    g = c.agg(
+        F.first(mean).alias("mean"), F.sqrt(F.sum(w * d * d)).alias("sd"), F.sum(w * d * d * d).alias("m3"), F.sum(w * d * d * d * d).alias("m4"),
         F.sum(F.when(F.col("count") > 0, -w * F.log2(F.when(F.col("count") > 0, w))).otherwise(0.0)).alias("entropy"),
         F.max(F.struct(F.col("count"), (-F.col("bin")).alias("b"), "x"))["x"].alias("mode"),
         *[F.min(F.when(F.col("cdf") >= q, F.struct("bin", "x")))["x"].alias(name) for name, q in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))],

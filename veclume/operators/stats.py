@@ -76,9 +76,9 @@ def fences(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
 def outlier_groups(df: DataFrame, value: str, by: str, threshold: float) -> DataFrame:
     """Groups whose mean lies more than threshold standard deviations from the mean of means."""
     means = df.groupBy(by).agg(F.avg(value).alias("mean"))
-    all_ = means.agg(F.avg("mean").alias("m"), F.coalesce(F.stddev_samp("mean"), F.lit(0.0)).alias("s"))
-    z = F.when(F.col("s") > 0, (F.col("mean") - F.col("m")) / F.col("s")).otherwise(0.0)
-    return means.join(F.broadcast(all_), F.lit(True)).select(by, "mean", z.alias("z")).where(F.abs("z") > threshold)  # one row
+    m, sd = means.agg(F.avg("mean"), F.coalesce(F.stddev_samp("mean"), F.lit(0.0))).first()
+    z = (F.col("mean") - m) / sd if sd else F.lit(0.0)
+    return means.select(by, "mean", z.alias("z")).where(F.abs("z") > threshold)
 
 
 def correlation_matrix(df: DataFrame, columns: list[str], covariance: bool = False) -> DataFrame:
@@ -103,8 +103,10 @@ def logsumexp(df: DataFrame, value: str, by: list[str] | None = None) -> DataFra
     by = by or []
     x = F.col(value).cast("double")
     inf = float("inf")
-    top = df.groupBy(*by).agg(F.max(x).alias("__m"))
-    joined = df.join(top, by) if by else df.join(F.broadcast(top), F.lit(True))  # one row
+    if by:
+        joined = df.join(df.groupBy(*by).agg(F.max(x).alias("__m")), by)
+    else:
+        joined = df.withColumn("__m", F.lit(df.agg(F.max(x)).first()[0]).cast("double"))
     m = F.first("__m")
     sums = joined.groupBy(*by).agg(m.alias("m"), F.sum(F.exp(x - F.col("__m"))).alias("s"))
     return sums.select(*by, F.when(F.col("m") == -inf, F.lit(-inf)).when(F.col("m") == inf, F.lit(inf)).otherwise(F.col("m") + F.ln("s")).alias("logsumexp"))
