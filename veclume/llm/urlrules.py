@@ -89,7 +89,7 @@ class PatternIndex:
         self.by_token: dict[str, list[tuple[str, re.Pattern]]] = {}
         self.always: list[tuple[str, re.Pattern]] = []
         for r in rules:
-            compiled = (r.name, re.compile(r.pattern))
+            compiled = (r.name, re.compile(r.pattern, re.ASCII))
             if r.tokens:
                 self.by_token.setdefault(min(r.tokens, key=lambda t: (counts.get(t, 0), t)), []).append(compiled)
             else:
@@ -142,4 +142,21 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", scope
 
 def url_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's row per page."""
-    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet")).drop("regexes_run")
+
+
+def url_sql() -> str:
+    """DuckDB SQL of url_report."""
+
+    def fits(host: str, path: str) -> str:
+        return f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}')"
+
+    longest = sorted(SCOPES, key=lambda r: (-len(r[1]), -len(r[2]), r[0] != "block"))
+    rule = " ".join(f"WHEN {fits(h, p)} THEN '{h}{p}'" for _, h, p in longest)
+    action = " ".join(f"WHEN '{h}{p}' THEN '{a}'" for a, h, p in longest)
+    pattern = " ".join(f"WHEN regexp_matches(lower(url), '{r.pattern}') THEN '{r.name}'" for r in sorted(PATTERNS, key=lambda r: r.name))
+    upper, low = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    parts = f"SELECT page_id, url, translate(coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 1), ''), '{upper}', '{low}') AS host, coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages"
+    ruled = f"SELECT *, CASE {rule} END AS rule FROM ({parts})"
+    matched = f"SELECT *, CASE WHEN rule IS NULL THEN CASE {pattern} END END AS pattern FROM ({ruled})"
+    return f"SELECT page_id, host, path, rule, CASE rule {action} ELSE CASE WHEN pattern IS NULL THEN 'allow' ELSE 'block' END END AS verdict, pattern FROM ({matched})"
