@@ -140,7 +140,7 @@ def test_jaccard_links_of_random_small_sets(spark, percent):
 
 def test_boundary_follows_cost():
     assert jaccard.choose_boundary({10: (1.0, 100.0, 100.0), 60: (10000.0, 10.0, 0.0)}) < 60
-    assert jaccard.choose_boundary({10: (1.0, 1000.0, 0.0), 60: (10.0, 1000.0, 9000.0)}) >= 60
+    assert jaccard.choose_boundary({10: (1.0, 1000.0, 0.0), 40: (10.0, 1000.0, 9000.0)}) > 50
 
 
 def test_simple8b_words():
@@ -214,7 +214,7 @@ def test_sharding(spark, odd, small, sf, tmp_path):
     m = slots.plan(slots.sized(small), 40)
     more = slots.rebalance(m, 41)
     moved = [k for k in range(slots.SLOTS) if m.shard[k] != more.shard[k] and m.bytes[k]]
-    assert sum(m.bytes[k] for k in moved) < 0.2 * sum(m.bytes) and more.version == 2 and max(more.loads()) < 1.3 * sum(m.bytes) / 41
+    assert sum(m.bytes[k] for k in moved) < 0.2 * sum(m.bytes) and more.version == 2 and max(more.loads()) <= max(1.3 * sum(m.bytes) / 41, *m.bytes)
     slots.save_map(spark, m, f"{tmp_path}/map")
     slots.save_map(spark, more, f"{tmp_path}/map")
     assert slots.load_map(spark, f"{tmp_path}/map") == more and slots.load_map(spark, f"{tmp_path}/map", 1).shard == m.shard
