@@ -7,7 +7,7 @@ finite elements: NaN counts as 0, infinities as the greatest finite float.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veclume.functions.vector import ColumnLike, col, doubles, vsum, vzip
@@ -111,3 +111,27 @@ def quality_class(p: Column) -> Column:
 
 def compression_ratio(bits: int) -> float:
     return 32 / bits
+
+
+def global_codes(df: DataFrame, vec: str, bits: int = 8, symmetric_codes: bool = False) -> tuple[DataFrame, float, int]:
+    """Adds q with one scale and zero point for all rows, from one aggregation: (df, scale, zero point)."""
+    least, most = df.agg(F.min(F.array_min(finite(vec))), F.max(F.array_max(finite(vec)))).first()
+    if least is None:
+        least = most = 0.0
+    if symmetric_codes:
+        scale, zero = max(max(abs(least), abs(most)) / ((1 << (bits - 1)) - 1), EPS), 0
+    else:
+        scale = max((most - least) / ((1 << bits) - 1), EPS)
+        zero = -(1 << (bits - 1)) - round(least / scale)
+    return df.withColumn("q", quantize(vec, F.lit(scale), F.lit(zero), bits)), scale, zero
+
+
+def adaptive_bits(target_ratio: float) -> int:
+    """Widest codes of 16, 8, 4 or 1 bits that shrink 32-bit floats by the target ratio or more."""
+    return next((b for b in (16, 8, 4) if compression_ratio(b) >= target_ratio), 1)
+
+
+def per_channel_scales(df: DataFrame, vec: str, bits: int = 8) -> DataFrame:
+    """(i, scale) of each dimension: greatest size / most."""
+    most = (1 << (bits - 1)) - 1
+    return df.select(F.posexplode(finite(vec)).alias("i", "v")).groupBy("i").agg(F.greatest(F.max(F.abs("v")) / most, F.lit(EPS)).alias("scale"))

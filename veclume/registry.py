@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 
 from veclume.functions import quant as Q
 from veclume.functions import vector as V
-from veclume.operators import graph, hist, kmeans, learned, pq, quantstats, stats, text, topk, umap
+from veclume.operators import batch, graph, hist, kmeans, learned, pq, quantstats, stats, text, topk, umap
 from veclume.operators import matrix as M
 from veclume.plans.blocked import knn, within
 
@@ -338,6 +338,34 @@ def _(spark, d):
 FENCES_SQL = "SELECT round(q25, 4) AS q25, round(q50, 4) AS q50, round(q75, 4) AS q75, round(q75 - q25, 4) AS iqr, round(q25 - 1.5 * (q75 - q25), 4) AS low_fence, round(q75 + 1.5 * (q75 - q25), 4) AS high_fence FROM (SELECT quantile_cont(value, 0.25) AS q25, quantile_cont(value, 0.5) AS q50, quantile_cont(value, 0.75) AS q75 FROM events)"
 
 
+@query("latency_percentiles", "SELECT event_type, round(quantile_cont(value, 0.5), 4) AS q50, round(quantile_cont(value, 0.95), 4) AS q95, round(quantile_cont(value, 0.99), 4) AS q99 FROM events GROUP BY 1")
+def _(spark, d):
+    return rounded(stats.quantiles(table(spark, d, "events"), "value", (0.5, 0.95, 0.99), ["event_type"]), 4, "q50", "q95", "q99")
+
+
+@query("vector_statistics", "SELECT label, count(*) AS n, round(sum(s) / sum(d), 6) AS mean, round(sqrt(sum(q) / sum(d) - (sum(s) / sum(d)) ** 2), 6) AS stddev, round(avg(sqrt(q)), 5) AS mean_norm FROM (SELECT label, len(v) AS d, list_sum(v) AS s, list_sum(list_transform(v, lambda x: x * x)) AS q FROM (SELECT label, embedding::DOUBLE[] AS v FROM embeddings)) GROUP BY 1")
+def _(spark, d):
+    return rounded(rounded(batch.vector_statistics(table(spark, d, "embeddings"), "label"), 6, "mean", "stddev"), 5, "mean_norm")
+
+
+@query("outlier_groups", "WITH m AS (SELECT l_suppkey, avg(l_quantity) AS mean FROM lineitem GROUP BY 1), z AS (SELECT l_suppkey, mean, (mean - (SELECT avg(mean) FROM m)) / (SELECT stddev_samp(mean) FROM m) AS z FROM m) SELECT l_suppkey, round(mean, 4) AS mean, round(z, 4) AS z FROM z WHERE abs(z) > 0.5")
+def _(spark, d):
+    return rounded(stats.outlier_groups(table(spark, d, "lineitem"), "l_quantity", "l_suppkey", 0.5), 4, "mean", "z")
+
+
+@query("global_minimum", f"SELECT round(d, 4) AS d, id_a, id_b FROM (SELECT {DISTANCES['l2'][1]} AS d, id_a, id_a + 1 AS id_b {PAIRS_SQL}) ORDER BY d, id_a LIMIT 1")
+def _(spark, d):
+    cells = pairs(spark, d).select(V.l2("va", "vb").alias("d"), "id_a", (F.col("id_a") + 1).alias("id_b"))
+    return rounded(topk.global_minimum(cells, "d", "id_a", "id_b"), 4, "d")
+
+
+@query("valid_results", f"SELECT id_a AS id, round({DISTANCES['l2'][1]}, 4) AS distance {PAIRS_SQL} WHERE id_a % 3 <> 0")
+def _(spark, d):
+    rows = pairs(spark, d).select("id_a", V.l2("va", "vb").alias("d"))
+    broken = rows.select(F.col("id_a").alias("id"), F.when(F.col("id_a") % 6 == 0, float("nan")).when(F.col("id_a") % 3 == 0, float("inf")).otherwise(F.col("d")).alias("distance"))
+    return rounded(batch.valid(broken), 4, "distance")
+
+
 @query("outlier_fences", FENCES_SQL)
 def _(spark, d):
     return rounded(stats.fences(table(spark, d, "events"), "value"), 4, "q25", "q50", "q75", "iqr", "low_fence", "high_fence")
@@ -432,6 +460,22 @@ add("quant_batch_quality", lambda s, d: rounded(rounded(quantstats.batch_quality
 add("poor_quality_rows", lambda s, d: rounded(quantstats.poor_rows(_quality(s, d), 0.00005), 8, "mse"), f"SELECT vec_id, round(mse, 8) AS mse FROM ({ROWS_SQL}) WHERE mse > 0.00005")
 
 
+GLOBAL_SQL = "(SELECT vec_id, label, list_transform(embedding::DOUBLE[], lambda x: (greatest(-128, least(127, round_even(x / s, 0) + z)) - z) * s) AS embedding FROM embeddings, (SELECT s, -128 - round_even(lo / s, 0) AS z FROM (SELECT lo, greatest((hi - lo) / 255, 1e-8) AS s FROM (SELECT min(list_min(embedding))::DOUBLE AS lo, max(list_max(embedding))::DOUBLE AS hi FROM embeddings))))"
+
+
+@query("ivf_sq8_search", search_sql(METRIC_SQL["euclidean"], places=3).replace("FROM embeddings q, embeddings b WHERE", f"FROM embeddings q, {GLOBAL_SQL} b WHERE"))
+def _(spark, d):
+    e, q = vectors(spark, d)
+    coded, scale, zero = Q.global_codes(e, "embedding")
+    decoded = coded.select("vec_id", "label", Q.dequantize("q", F.lit(scale), F.lit(zero)).alias("embedding"))
+    return rounded(knn(decoded, q, 10), 3, "distance")
+
+
+@query("per_channel_scales", "SELECT (i - 1)::INT AS i, round(greatest(max(abs(embedding[i]::DOUBLE)) / 127, 1e-8), 6) AS scale FROM (SELECT embedding, unnest(range(1, 65)) AS i FROM embeddings) GROUP BY 1")
+def _(spark, d):
+    return rounded(Q.per_channel_scales(table(spark, d, "embeddings"), "embedding"), 6, "scale")
+
+
 @query("quant_compare")
 def _(spark, d):
     methods = {f"int{b}_{n}": Q.decode(f("embedding", b)) for b in (4, 8) for n, f in (("sym", Q.symmetric), ("asym", Q.asymmetric))}
@@ -535,6 +579,13 @@ def _(spark, d):
     return umap.epoch(points, edges, points.count(), 0.5, 1.5, 0.9).select("id", F.element_at("y", 1).alias("y1"), F.element_at("y", 2).alias("y2"))
 
 
+@query("umap_negative_gradient")
+def _(spark, d):
+    points, _ = _layout(spark, d)
+    g = umap.negative_gradients(umap.negative_pairs(points, 5, points.count(), 3), points, 0.9, 1.5, 1.0)
+    return g.select("source", "target", F.round(F.element_at("g", 1), 4).alias("g1"))
+
+
 # -- learned projections, matrices ------------------------------------------------------------
 
 
