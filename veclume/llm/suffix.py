@@ -296,3 +296,23 @@ def decontamination_report(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
         "longest_match", "longest_at", "longest_item",
     )
+
+
+def report_sql(window: int = WINDOW) -> str:
+    """DuckDB SQL of decontamination_report: windows as lists of words, joined; spans and runs by window functions."""
+    upper, low = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    words = rf"regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{low}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return f"""
+WITH d AS (SELECT doc_id, {words} AS ws FROM documents),
+ b AS (SELECT item_id, {words} AS ws FROM benchmark),
+ bw AS (SELECT item_id, j, list_slice(ws, j, least(len(ws), j + {window - 1})) AS k FROM (SELECT *, unnest(range(1, greatest(len(ws) - {window - 1}, 1) + 1)) AS j FROM b WHERE len(ws) > 0)),
+ sizes AS (SELECT DISTINCT len(k) AS n FROM bw),
+ dw AS (SELECT doc_id, p, list_slice(ws, p, p + n - 1) AS k FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS p FROM d, sizes WHERE len(ws) >= n)),
+ m AS (SELECT doc_id, item_id, p, j, len(k) AS n FROM dw JOIN bw USING (k)),
+ hit AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(p, p + n)) AS q FROM m) GROUP BY 1),
+ items AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS s FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM m) GROUP BY 1),
+ runs AS (SELECT doc_id, item_id, min(p) - 1 AS place, max(n) + count(*) - 1 AS length FROM (SELECT *, p - row_number() OVER (PARTITION BY doc_id, item_id, p - j ORDER BY p) AS g FROM m) GROUP BY doc_id, item_id, p - j, g),
+ best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length DESC, place, item_id) = 1)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(s, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated,
+ coalesce(length, 0)::BIGINT AS longest_match, coalesce(place, -1)::BIGINT AS longest_at, item_id::VARCHAR AS longest_item
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN best USING (doc_id)"""
