@@ -20,7 +20,12 @@ which links with nothing. Two documents link when 100 |A and B| >= 80 |A or B|.
    all pairs of a key whose components still differ are compared. No link
    between different components is lost, and members of a large group of copies
    are not paired with each other.
-5. Pairs are verified on the sets themselves (48 bits of each hash).
+5. Pairs first meet a bound: each set has a table of bits, the parity of its
+   hashes by cell, about as many cells as elements; tables differ in no more
+   bits than the sets in elements, so pairs that differ in too many cannot link
+   (a table folds to a shorter one by XOR of its halves). What passes is
+   verified on the sets themselves (48 bits of each hash), which are made anew
+   from the texts of these documents only.
 
 Frequency only orders the shingles, so the bound on how many frequent shingles
 are known (``HOT_KEPT``) bears on cost, not on results. Nulls: null text is
@@ -50,9 +55,13 @@ HOT_KEPT = 1 << 18
 #: A shingle is frequent from so many documents in the counts of the first pass.
 HOT_LEAST = 8
 #: Shingles counted together in a task.
-COUNT_WINDOW = 3_000_000
-#: Keys of a packed range, about.
-RANGE_KEYS = 3_000_000
+COUNT_WINDOW = 2_000_000
+#: Keys packed together in a task, and keys of a range, about.
+PACK_KEYS = 1_000_000
+RANGE_KEYS = 2_000_000
+#: Words of 64 cells of the shortest parity table, and of the fold that the join itself tests.
+PARITY_WORDS = 16
+FOLD_WORDS = 8
 #: Bits of the table of documents that take part in some pair.
 INVOLVED_BITS = 23
 #: Cost of a candidate in a list against that of a row written.
@@ -107,20 +116,36 @@ def subsets_of_two(prefix: np.ndarray) -> np.ndarray:
     return mix(a * U64(0x9E3779B97F4A7C15) + mix(b + U64(0xA0761D6478BD642F)))
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """The parity of a set's hashes by cell, 64 a word: a power of two of words, as many cells as elements or more."""
+    words = PARITY_WORDS
+    while 64 * words < len(s):
+        words *= 2
+    count = np.bincount((s & U64(64 * words - 1)).astype(np.int64), minlength=64 * words)
+    return np.packbits(count & 1, bitorder="little").view(np.int64)
+
+
+def fold(table: np.ndarray, words: int) -> np.ndarray:
+    """The table of fewer cells."""
+    return np.bitwise_xor.reduce(table.reshape(-1, words), axis=0)
+
+
 def _profile(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
-    """Rows (kind, a, b, c, d): 0 a document's id, size, fingerprint; 1 a shingle and its count; 2 costs of a size."""
+    """Rows (kind, a, b, c, d, bits, fold): 0 a document's id, size, fingerprint, parities; 1 a shingle and its count; 2 costs of a size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         held_n = 0
 
-        def rows(kind: int, *cols: np.ndarray | pa.Array) -> pa.RecordBatch:
+        def rows(kind: int, *cols: np.ndarray | pa.Array, bits: list[np.ndarray] | None = None) -> pa.RecordBatch:
             cols = [c if isinstance(c, pa.Array) else pa.array(np.ascontiguousarray(c).view(np.int64) if c.dtype == U64 else c.astype(np.int64)) for c in cols]
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(cols[0]), kind, np.int8)), *cols], ["kind", "a", "b", "c", "d"])
+            n = len(cols[0])
+            tables = [pa.array([None] * n if bits is None else b, pa.list_(pa.int64())) for b in (bits, bits and [fold(t, FOLD_WORDS) for t in bits])]
+            return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int8)), *cols, *tables], ["kind", "a", "b", "c", "d", "bits", "fold"])
 
         def counted() -> Iterator[pa.RecordBatch]:
-            tokens = np.concatenate(held)
-            order = np.sort(tokens)
+            order = np.concatenate(held)
+            order.sort()
             first = np.flatnonzero(np.concatenate([[True], order[1:] != order[:-1]]))
             count = np.diff(np.concatenate([first, [len(order)]]))
             many = count > 1
@@ -146,7 +171,7 @@ def _profile(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataF
                 size = np.array([len(s) for s in sets], np.int64)
                 one = np.array([int(s.sum(dtype=U64)) if len(s) else 0 for s in sets], U64)
                 two = np.array([int(np.bitwise_xor.reduce(mix(s))) if len(s) else 0 for s in sets], U64)
-                yield rows(0, batch.column(0).slice(i, j - i).cast(pa.int64()), size, mix(one), two)
+                yield rows(0, batch.column(0).slice(i, j - i).cast(pa.int64()), size, mix(one), two, bits=[parities(s) for s in sets])
                 full = [s for s in sets if len(s)]
                 held += full
                 held_n += int(size.sum())
@@ -156,7 +181,7 @@ def _profile(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataF
         if held:
             yield from counted()
 
-    return docs.select(id_col, text_col).mapInArrow(run, "kind byte, a long, b long, c long, d long")
+    return docs.select(id_col, text_col).mapInArrow(run, "kind byte, a long, b long, c long, d long, bits array<long>, fold array<long>")
 
 
 def choose_boundary(costs: dict[int, tuple[float, float, float]]) -> int:
@@ -223,7 +248,7 @@ def _keys(docs: DataFrame, id_col: str, text_col: str, order, boundary: int, ran
                         keys.append(m)
                         ids.append(np.full(len(m), doc[r], np.int64))
                         n += len(m)
-                if n >= RANGE_KEYS:
+                if n >= PACK_KEYS:
                     yield from packed()
                     keys, ids, n = [], [], 0
                     seen.clear()
@@ -297,6 +322,26 @@ def _tokens(blob: bytes) -> np.ndarray:
     return out.view(U64)[:, 0]
 
 
+def _possible(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that may link, by their sizes and parities."""
+    left = pairs.join(bits.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("bits").alias("pa")), "a")
+    both = left.join(bits.select(F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("pb")), "b").select("a", "b", "na", "nb", "pa", "pb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            keep = []
+            for na, nb, x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), batch.column(5), strict=True):
+                x, y = x.values.to_numpy(), y.values.to_numpy()
+                words = min(len(x), len(y))
+                differ = int(np.bitwise_count((fold(x, words) ^ fold(y, words)).view(U64)).sum())
+                keep.append(differ * (100 + percent) <= (100 - percent) * (na + nb) and min(na, nb) * 100 >= max(na, nb) * percent)
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return both.mapInArrow(run, "a long, b long")
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b, linked) of pairs (a, b), by the sets themselves."""
     left = pairs.join(sets.select(F.col("doc").alias("a"), F.col("tokens").alias("ta")), "a")
@@ -317,8 +362,8 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long, linked boolean")
 
 
-def _close(a: str, b: str, percent: int) -> F.Column:
-    return (F.least(a, b) * 100 >= F.greatest(a, b) * percent)
+def _close(a: str, b: str, percent: int):
+    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -342,34 +387,56 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(total / RANGE_KEYS), 1)
     shared = scratch.keep(_shared(_keys(docs, id_col, text_col, order, boundary, ranges, percent)), "shared")
 
-    # classes of equal sets; the empty set is no class
+    # classes of equal sets (the empty set is no class), and each document's number of keys that it alone has
     classes = named.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc").alias("rep"), F.count("*").alias("copies"))
     classes = scratch.keep(named.where("n > 0").join(classes.where("copies > 1"), ["f1", "f2", "n"]).select("doc", "rep").distinct(), "classes")
-    members = shared.join(classes, "doc", "left").select("key", F.coalesce("rep", "doc").alias("doc")).distinct()
-    sizes = named.groupBy("doc").agg(F.max("n").alias("n"))
-    members = members.join(sizes, "doc").select("key", "doc", "n")
-    wide = members.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
-    members = scratch.keep(members.join(wide, "key", "left_semi"), "members")
-    involved = spark.sparkContext.broadcast(_involved_table(members.select("doc").distinct()))
-    sets = scratch.keep(_sets(docs, id_col, text_col, involved), "sets")
-
-    # hubs: a member of each key against the others, linear in the list
-    hubs = members.groupBy("key").agg(F.min_by(F.struct("doc", "n"), F.xxhash64("doc")).alias("h"), F.max_by(F.struct("doc", "n"), F.xxhash64("doc")).alias("g"))
-    stars = members.join(hubs, "key").select("doc", "n", F.explode(F.array("h", "g")).alias("h")).where("doc <> h.doc").where(_close("n", "h.n", percent))
+    sizes = named.groupBy("doc").agg(F.max("n").alias("n")).join(classes, "doc", "left")
+    p = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1
+    all_keys = F.when(F.col("n") <= boundary, (p + 1) * p / 2).otherwise(0) + F.when(F.col("n") * 100 >= percent * boundary, p).otherwise(0)
+    own = shared.groupBy("doc").agg(F.count("*").alias("m")).join(sizes, "doc").select("doc", F.coalesce("rep", "doc").alias("rep"), "n", (all_keys - F.col("m")).alias("alone"))
+    each = shared.join(own, "doc").groupBy("key", F.col("rep").alias("doc"), "n").agg(F.min("alone").alias("alone"))
+
+    # hubs: two members of each key against the others, linear in the list. The first is the one with the fewest
+    # keys of its own, the text that copies were made from, or near it; the second is any.
+    one_of = F.struct("doc", "n")
+    hubs = each.groupBy("key").agg(F.count("*").alias("m"), F.min_by(one_of, F.struct("alone", "doc")).alias("h"), F.max_by(one_of, F.xxhash64("doc")).alias("g"))
+    members = scratch.keep(each.join(hubs.where("m > 1"), "key").select("key", "doc", "n", "h", "g"), "members")
+    scratch.drop(shared)
+    scratch.release()
+    bits = profile.where("kind = 0 and a is not null and b > 0").select(F.col("a").alias("doc"), F.col("b").alias("n"), "bits")
+
+    def tested(pairs: DataFrame) -> DataFrame:
+        """(a, b, linked) of those pairs that may link."""
+        possible = scratch.keep(_possible(pairs, bits, percent), "possible")
+        ends = possible.select(F.col("a").alias("doc")).unionByName(possible.select(F.col("b").alias("doc"))).distinct()
+        table = spark.sparkContext.broadcast(_involved_table(ends))
+        sets = scratch.keep(_sets(docs, id_col, text_col, table), "sets")
+        out = scratch.keep(_verify(possible, sets, percent), "tested")
+        scratch.drop(sets)
+        scratch.drop(possible)
+        scratch.release()
+        return out
+
+    stars = members.select("doc", "n", F.explode(F.array("h", "g")).alias("h")).where("doc <> h.doc").where(_close("n", "h.n", percent))
     stars = stars.select(F.least("doc", "h.doc").alias("a"), F.greatest("doc", "h.doc").alias("b")).distinct()
-    tried = scratch.keep(_verify(stars, sets, percent), "stars")
+    tried = tested(stars)
     links = tried.where("linked").select("a", "b")
     comp = scratch.keep(connected_components(links, scratch), "comp")
-
-    # the rest: pairs of a key whose components differ
-    placed = members.join(comp.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("c"))
-    placed = scratch.keep(placed, "placed")
-    mixed = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).where("lo < hi and m > 3").select("key")
-    open_ = placed.join(mixed, "key", "left_semi")
-    other = open_.select("key", F.col("doc").alias("doc2"), F.col("n").alias("n2"), F.col("c").alias("c2"))
-    rest = open_.join(other, (open_.key == other.key) & (open_.c != other.c2) & (open_.doc < other.doc2) & _close("n", "n2", percent))
+    scratch.release()
+
+    # the rest: pairs of a key whose components differ, and whose parities (folded) allow a link
+    placed = scratch.keep(members.join(comp.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("c")), "placed")
+    scratch.drop(members)
+    mixed = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).where("lo < hi and m > 2").select("key")
+    half = FOLD_WORDS
+    folded = profile.where("kind = 0 and a is not null and b > 0").select(F.col("a").alias("doc"), *[F.col("fold")[k].alias(f"w{k}") for k in range(half)])
+    open_ = placed.join(mixed, "key", "left_semi").join(folded, "doc")
+    other = open_.select("key", F.col("doc").alias("doc2"), F.col("n").alias("n2"), F.col("c").alias("c2"), *[F.col(f"w{k}").alias(f"x{k}") for k in range(half)])
+    differ = sum((F.bit_count(F.col(f"w{k}").bitwiseXOR(F.col(f"x{k}"))) for k in range(half)), F.lit(0))
+    may = _close("n", "n2", percent) & (differ * (100 + percent) <= (F.col("n") + F.col("n2")) * (100 - percent))
+    rest = open_.join(other, (open_.key == other.key) & (open_.c != other.c2) & (open_.doc < other.doc2) & may)
     rest = rest.select(F.col("doc").alias("a"), F.col("doc2").alias("b")).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
-    late = scratch.keep(_verify(rest, sets, percent), "rest").where("linked").select("a", "b")
+    late = tested(rest).where("linked").select("a", "b")
     if late.limit(1).count():
         comp = scratch.keep(connected_components(links.unionByName(late), scratch), "comp2")
 
@@ -406,3 +473,19 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pe
 def component_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's row per document."""
     return components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def report_sql(percent: int = PERCENT) -> str:
+    """DuckDB SQL of component_report, on the words themselves: all pairs that share a shingle, then reachability."""
+    upper, low = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    words = rf"regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{low}'), '[^\x20\x09-\x0D]+')"
+    return f"""
+WITH RECURSIVE w AS (SELECT doc_id, {words} AS ws FROM documents),
+ s AS (SELECT DISTINCT doc_id, k FROM (
+  SELECT doc_id, list_slice(ws, p, p + {K - 1}) AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {K - 2})) AS p FROM w WHERE len(ws) >= {K})
+  UNION ALL SELECT doc_id, ws FROM w WHERE len(ws) BETWEEN 1 AND {K - 1})),
+ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+ c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM s x JOIN s y ON x.k = y.k AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+ l AS (SELECT a, b FROM c JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * common >= {percent} * (na.n + nb.n - common)),
+ r AS (SELECT doc_id, doc_id AS reached FROM w UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.reached)
+SELECT doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(reached)::BIGINT AS component_id FROM r LEFT JOIN n USING (doc_id) GROUP BY doc_id"""

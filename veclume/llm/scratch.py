@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -49,6 +50,11 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def release(self) -> None:
+        """Let Spark delete the shuffle files of finished steps now, not when the driver next happens to collect garbage."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def _fs(self, path: str):
         jvm = self.spark.sparkContext._jvm
         at = jvm.org.apache.hadoop.fs.Path(path)

@@ -16,6 +16,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
+#: Arrow's own pools keep freed pages; workers give them back.
+pa.set_memory_pool(pa.system_memory_pool())
 BLOCK_BYTES = 1 << 21
 
 _MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=U64)
