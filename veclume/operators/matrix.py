@@ -7,10 +7,15 @@ the inner index, then by the cell, and partial sums come before that shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veclume.functions.vector import UNARY
+from veclume.plans.blocked import matrix
 
 
 def transpose(m: DataFrame) -> DataFrame:
@@ -30,6 +35,22 @@ def multiply(a: DataFrame, b: DataFrame, alpha: float = 1.0, beta: float = 0.0,
     return out
 
 
+def gram(df: DataFrame, vec: str) -> DataFrame:
+    """(i, j, v) of M' M, M the vectors of all rows: a task emits one matrix of sums. Null vectors take no part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if len(batch):
+                x = matrix(batch.column(0), None if total is None else len(total))
+                total = x.T @ x if total is None else total + x.T @ x
+        if total is not None:
+            i, j = np.indices(total.shape).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(i.ravel()), pa.array(j.ravel()), pa.array(total.ravel())], ["i", "j", "v"])
+
+    return df.where(F.col(vec).isNotNull()).select(vec).mapInArrow(run, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
+
+
 def fused(a: DataFrame, b: DataFrame, bias: DataFrame | None = None, activation: str = "none", alpha: float = 1.0, batch: list[str] | None = None) -> DataFrame:
     """activation(alpha A B + bias of the column)."""
     out = multiply(a, b, alpha, batch=batch)

@@ -19,6 +19,7 @@ from veclume.functions import vector as V
 from veclume.operators import batch, graph, hist, kmeans, learned, pq, quantstats, stats, text, topk, umap
 from veclume.operators import matrix as M
 from veclume.plans.blocked import knn, within
+from veclume.storage import kept
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -621,7 +622,7 @@ add("identity", lambda s, d: M.identity(s, 8), "SELECT i::INT AS i, j::INT AS j,
 
 @query("power_iteration")
 def _(spark, d):
-    m = M.multiply(_m(spark, d), _m(spark, d), transpose_a=True)
+    m = kept(M.gram(table(spark, d, "embeddings"), "embedding"), "gram")
     value, vector = M.power_iteration(m, DIM, 30, 1e-6)
     return spark.createDataFrame([(k, value, v) for k, v in enumerate(vector)], "j int, eigenvalue double, v double")
 
