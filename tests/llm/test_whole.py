@@ -1,0 +1,28 @@
+"""The operators do the whole job: cases that were cut before."""
+
+import brute
+import numpy as np
+from pyspark.sql import functions as F
+
+from veclume.llm import jaccard
+
+
+def test_links_inside_a_large_group(spark):
+    rng = np.random.default_rng(5)
+    base = [f"b{k}" for k in range(60)]
+    rows = []
+    for i in range(60):  # near copies of one text, most of which link with each other
+        v = list(base)
+        for _ in range(rng.integers(0, 3)):
+            v[rng.integers(60)] = f"n{rng.integers(10**6)}"
+        rows.append((i, " ".join(v)))
+    rows += [(100, rows[3][1]), (101, rows[3][1]), (102, ""), (103, None), (104, "alone in this table"), (None, rows[3][1])]
+    sets = {d: brute.shingles(t) for d, t in rows if d is not None}
+    linked = {(a, b) for a in sets for b in sets if a != b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in jaccard.link_counts(df).collect()}
+    assert {d: r.n_links for d, r in got.items()} == {d: sum(a == d for a, _ in linked) for d in sets} | {None: 0}
+    own = jaccard.links(df)
+    member = {r.doc_id: r.class_id for r in own.membership.collect()}
+    assert {(r.a, r.b) for r in own.pairs.collect()} == {(member[a], member[b]) for a, b in linked if member[a] < member[b]}
+    assert member[100] == member[101] == member[3] and jaccard.link_counts(df.where(F.lit(False))).count() == 0

@@ -35,7 +35,7 @@ node. Extra columns are ignored by ``components`` and kept by ``keep_one``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from math import ceil
 
@@ -366,8 +366,20 @@ def _close(a: str, b: str, percent: int):
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """(id, n_shingles, component_id) for each document; component_id: least id reachable by links."""
+@dataclass
+class Candidates:
+    """What components and links start from. members: the keys of two or more classes, with their hubs."""
+
+    scratch: Scratch
+    profile: DataFrame
+    one: DataFrame
+    named: DataFrame
+    classes: DataFrame
+    members: DataFrame
+    tested: Callable[[DataFrame], DataFrame]
+
+
+def _candidates(docs: DataFrame, id_col: str, text_col: str, percent: int) -> Candidates:
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     docs = docs.select(id_col, text_col)
@@ -417,6 +429,23 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         scratch.release()
         return out
 
+    return Candidates(scratch, profile, one, named, classes, members, tested)
+
+
+def _folded(profile: DataFrame) -> DataFrame:
+    return profile.where("kind = 0 and a is not null and b > 0").select(F.col("a").alias("doc"), *[F.col("fold")[k].alias(f"w{k}") for k in range(FOLD_WORDS)])
+
+
+def _may_link(percent: int):
+    """Of columns n, w0, ... and n2, x0, ...: whether sizes and parities (folded) allow a link."""
+    differ = sum((F.bit_count(F.col(f"w{k}").bitwiseXOR(F.col(f"x{k}"))) for k in range(FOLD_WORDS)), F.lit(0))
+    return _close("n", "n2", percent) & (differ * (100 + percent) <= (F.col("n") + F.col("n2")) * (100 - percent))
+
+
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """(id, n_shingles, component_id) for each document; component_id: least id reachable by links."""
+    own = _candidates(docs, id_col, text_col, percent)
+    scratch, profile, one, named, classes, members, tested = own.scratch, own.profile, own.one, own.named, own.classes, own.members, own.tested
     stars = members.select("doc", "n", F.explode(F.array("h", "g")).alias("h")).where("doc <> h.doc").where(_close("n", "h.n", percent))
     stars = stars.select(F.least("doc", "h.doc").alias("a"), F.greatest("doc", "h.doc").alias("b")).distinct()
     tried = tested(stars)
@@ -428,13 +457,10 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     placed = scratch.keep(members.join(comp.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("c")), "placed")
     scratch.drop(members)
     mixed = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).where("lo < hi and m > 2").select("key")
-    half = FOLD_WORDS
-    folded = profile.where("kind = 0 and a is not null and b > 0").select(F.col("a").alias("doc"), *[F.col("fold")[k].alias(f"w{k}") for k in range(half)])
+    folded = _folded(profile)
     open_ = placed.join(mixed, "key", "left_semi").join(folded, "doc")
-    other = open_.select("key", F.col("doc").alias("doc2"), F.col("n").alias("n2"), F.col("c").alias("c2"), *[F.col(f"w{k}").alias(f"x{k}") for k in range(half)])
-    differ = sum((F.bit_count(F.col(f"w{k}").bitwiseXOR(F.col(f"x{k}"))) for k in range(half)), F.lit(0))
-    may = _close("n", "n2", percent) & (differ * (100 + percent) <= (F.col("n") + F.col("n2")) * (100 - percent))
-    rest = open_.join(other, (open_.key == other.key) & (open_.c != other.c2) & (open_.doc < other.doc2) & may)
+    other = open_.select("key", F.col("doc").alias("doc2"), F.col("n").alias("n2"), F.col("c").alias("c2"), *[F.col(f"w{k}").alias(f"x{k}") for k in range(FOLD_WORDS)])
+    rest = open_.join(other, (open_.key == other.key) & (open_.c != other.c2) & (open_.doc < other.doc2) & _may_link(percent))
     rest = rest.select(F.col("doc").alias("a"), F.col("doc2").alias("b")).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
     late = tested(rest).where("linked").select("a", "b")
     if late.limit(1).count():
@@ -446,6 +472,40 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.unionByName(lost)
 
 
+@dataclass
+class Links:
+    """The whole join. pairs (a, b): linked classes, a < b, each by its least id; membership (id, n_shingles, class_id)."""
+
+    pairs: DataFrame
+    membership: DataFrame
+
+
+def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> Links:
+    """All links between different sets, verified, as pairs of classes; documents of one class (not of the empty set) link with each other.
+
+    Every pair of a key that sizes and parities allow is tested, so the cost
+    follows the number of such pairs; copies stay in their class.
+    """
+    own = _candidates(docs, id_col, text_col, percent)
+    listed = own.scratch.keep(own.members.select("key", "doc", "n").join(_folded(own.profile), "doc"), "listed")
+    other = listed.select(F.col("key").alias("key2"), F.col("doc").alias("doc2"), F.col("n").alias("n2"), *[F.col(f"w{k}").alias(f"x{k}") for k in range(FOLD_WORDS)])
+    pairs = listed.join(other, (F.col("key") == F.col("key2")) & (F.col("doc") < F.col("doc2")) & _may_link(percent))
+    found = own.tested(pairs.select(F.col("doc").alias("a"), F.col("doc2").alias("b")).distinct()).where("linked").select("a", "b")
+    known = own.named.join(own.classes, "doc", "left").select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("rep", "doc").alias("class_id"))
+    lost = own.one.where("doc is null").select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.col("doc").alias("class_id"))
+    return Links(found, known.unionByName(lost))
+
+
+def link_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """(id, n_shingles, class_id, n_links): documents that each links with, counted by class without pairing copies."""
+    own = links(docs, id_col, text_col, percent)
+    sizes = own.membership.where("class_id is not null and n_shingles > 0").groupBy("class_id").agg(F.count_distinct(id_col).alias("copies"))
+    ends = own.pairs.unionByName(own.pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = ends.join(sizes.withColumnRenamed("class_id", "b"), "b").groupBy(F.col("a").alias("class_id")).agg(F.sum("copies").alias("others"))
+    each = sizes.join(near, "class_id", "left").select("class_id", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    return own.membership.join(each, "class_id", "left").select(id_col, "n_shingles", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """Rows of docs whose id is the least of its component; all columns stay, rows without an id stay.
 
@@ -470,6 +530,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pe
     return part(False).unionByName(checked.join(gone, checked[id_col] == gone["__gone"], "left_anti"))
 
 
+def link_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The join itself: a row per document with its class and number of links."""
+    return link_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def component_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's row per document."""
     return components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
