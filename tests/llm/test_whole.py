@@ -1,10 +1,13 @@
 """The operators do the whole job: cases that were cut before."""
 
+import base64
+
 import brute
 import numpy as np
 from pyspark.sql import functions as F
 
-from veclume.llm import jaccard
+from veclume.llm import jaccard, quality
+from veclume.llm.quality import CHUNK
 
 
 def test_links_inside_a_large_group(spark):
@@ -26,3 +29,19 @@ def test_links_inside_a_large_group(spark):
     member = {r.doc_id: r.class_id for r in own.membership.collect()}
     assert {(r.a, r.b) for r in own.pairs.collect()} == {(member[a], member[b]) for a, b in linked if member[a] < member[b]}
     assert member[100] == member[101] == member[3] and jaccard.link_counts(df.where(F.lit(False))).count() == 0
+
+
+def test_quality_rejects_incompressible_passages_of_long_texts(spark, sf):
+    rng = np.random.default_rng(6)
+    prose = [t for t in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("lang = 'en' and n_chars between 4000 and 20000").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet").where("quality = 1"), "doc_id").orderBy("doc_id").select("text").toPandas().text]
+    text = " ".join(prose)[:200_000]
+    assert len(text) > 150_000
+    noise = base64.b64encode(rng.bytes(60_000)).decode()
+    noise = " ".join(noise[k : k + 50] for k in range(0, len(noise), 50))
+    cut = CHUNK * 3 + 1500
+    rows = [(0, text), (1, text[:100_000] + noise + text[100_000:]), (2, text[:60_000] + noise[:13_000] + text[60_000:]), (3, text[:cut]), (4, text[: cut - 1500] + noise[:1500])]
+    got = {r.doc_id: r for r in quality.measure(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {d: r.kept for d, r in got.items()} == {0: True, 1: False, 2: False, 3: True, 4: False}, got
+    assert (got[3].chunks, got[3].chunks_out, got[4].chunks_out) == (4, 0, 1)
+    high = [quality.Bands().limits(1 << k)[1] for k in range(13, 19)]
+    assert high == sorted(set(high), reverse=True)
