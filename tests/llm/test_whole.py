@@ -3,10 +3,11 @@
 import base64
 
 import brute
+import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
-from veclume.llm import jaccard, quality
+from veclume.llm import jaccard, quality, suffix
 from veclume.llm.quality import CHUNK
 
 
@@ -45,3 +46,23 @@ def test_quality_rejects_incompressible_passages_of_long_texts(spark, sf):
     assert (got[3].chunks, got[3].chunks_out, got[4].chunks_out) == (4, 0, 1)
     high = [quality.Bands().limits(1 << k)[1] for k in range(13, 19)]
     assert high == sorted(set(high), reverse=True)
+
+
+def test_decontamination_keeps_rows_and_items_without_ids(spark, tmp_path):
+    one, two, three = (" ".join(f"{c}{k}" for k in range(14)) for c in "abc")
+    rows = [(1, one), (1, f"x y {two}"), (1, "nothing here"), (None, two), (None, "nor here"), (2, f"{one} {two} {one}"), (3, three), (3, three), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    tests = spark.createDataFrame([(10, one), (11, two), (None, three), (12, two[3:])], "item_id long, text string").coalesce(1)
+    whole = suffix.scan(docs, tests)
+    parts = suffix.scan(docs, tests, block_words=3)
+    got = sorted(map(repr, whole.collect()))
+    assert got == sorted(map(repr, parts.collect())) and len(got) == len(rows)
+    assert sorted(r.n_hit for r in parts.collect()) == [0, 0, 0, 14, 14, 14, 14, 14, 42]
+    assert {r.doc_id for r in suffix.filter_clean(docs, tests).collect()} == {1, None, 4} and suffix.filter_clean(docs, tests, block_words=3).count() == 3
+    docs, tests = docs.where("doc_id = 3").limit(1), tests.where("item_id is null")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    tests.write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    assert [tuple(r) for r in suffix.decontamination_report(spark, str(tmp_path)).collect()] == con.execute(suffix.report_sql()).fetchall()

@@ -9,8 +9,9 @@ one diagonal give the longest verbatim matches.
 
 Words: A-Z lower-cased, then runs of digits, letters and non-ASCII characters.
 Null or empty text has no words, is never contaminated and stays. A test item
-without words (or null) never matches; repeated items each count. Rows keep
-their multiplicity. Extra columns pass through ``filter_clean`` untouched.
+without words (or null) never matches; repeated items each count. Items without
+an id hit like others and stand in ``items`` as null. Rows keep their
+multiplicity. Extra columns pass through ``filter_clean`` untouched.
 
 The test set is read in blocks of at most ``block_words`` words, each of which
 is broadcast on its own, so what is broadcast has a fixed bound.
@@ -43,7 +44,7 @@ class TestSet:
     use_window: np.ndarray  # for each use of a window: its window, item and place
     use_item: np.ndarray
     use_at: np.ndarray
-    items: list[str]
+    items: list[str | None]
     pairs: np.ndarray  # sorted hashes of leading pairs
     singles: np.ndarray  # sorted hashes of one-word windows
     maybe: np.ndarray  # bit table over both
@@ -60,7 +61,7 @@ def _lookup_table(*keys: np.ndarray) -> np.ndarray:
     return table
 
 
-def test_set(items: list[tuple[str, str | None]], window: int = WINDOW) -> TestSet:
+def test_set(items: list[tuple[str | None, str | None]], window: int = WINDOW) -> TestSet:
     column = pa.array([t for _, t in items], pa.large_string())
     buf, offs = text_buffer(column)
     words = words_of(buf, offs, ALNUM_WORDS)
@@ -150,7 +151,7 @@ class ShardMatches:
     n_words: np.ndarray
     n_hit: np.ndarray
     spans: list[list[int]]
-    items: list[list[str]]
+    items: list[list[str | None]]
     longest: np.ndarray
     longest_at: np.ndarray
     longest_item: list[str | None]
@@ -205,10 +206,10 @@ def match_block(buf: np.ndarray, offs: np.ndarray, tests: TestSet, window: int =
     return out
 
 
-def test_blocks(tests: DataFrame, item_col: str, text_col: str, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[str, str | None]]]:
+def test_blocks(tests: DataFrame, item_col: str, text_col: str, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[str | None, str | None]]]:
     """Items as strings in blocks of at most about block_words words; rows stream through the driver."""
     held, n = [], 0
-    for item, text in tests.select(F.col(item_col).cast("string"), F.col(text_col)).where(F.col(item_col).isNotNull()).toLocalIterator(prefetchPartitions=False):
+    for item, text in tests.select(F.col(item_col).cast("string"), F.col(text_col)).toLocalIterator(prefetchPartitions=False):
         size = len(text or "") // 2 + 1
         if held and n + size > block_words:
             yield held
@@ -221,21 +222,24 @@ def test_blocks(tests: DataFrame, item_col: str, text_col: str, block_words: int
 SCAN_SCHEMA = "n_words long, n_hit long, items array<string>, spans array<int>, longest_match long, longest_at long, longest_item string"
 
 
-def _scan_block(docs: DataFrame, id_col: str, text_col: str, tests: TestSet, window: int) -> DataFrame:
+def _scan_block(docs: DataFrame, id_col: str, text_col: str, tests: TestSet, window: int, first: bool, last: bool) -> DataFrame:
+    """docs (id, text and, unless first, what earlier blocks found) with the finds of one more block; the last drops the text."""
     held = docs.sparkSession.sparkContext.broadcast(tests)
-    id_type = docs.schema[id_col].dataType.simpleString()
+    types = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, " + ("" if last else f"`{text_col}` {docs.schema[text_col].dataType.simpleString()}, ")
+    names = [id_col, *([] if last else [text_col]), *[c.split()[0] for c in SCAN_SCHEMA.split(", ")]]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held.value
         for batch in batches:
             for i, j, buf, offs in blocks(batch.column(1), SHARD_BYTES):
                 m = match_block(buf, offs, own, window)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(m.n_words), pa.array(m.n_hit), pa.array(m.items, pa.list_(pa.string())), pa.array(m.spans, pa.list_(pa.int32())), pa.array(m.longest), pa.array(m.longest_at), pa.array(m.longest_item, pa.string())],
-                    [id_col, "n_words", "n_hit", "items", "spans", "longest_match", "longest_at", "longest_item"],
-                )
+                part = batch.slice(i, j - i)
+                if not first:
+                    _add_earlier(m, *[part.column(k).to_pylist() for k in range(3, 9)])
+                found = [pa.array(m.n_words), pa.array(m.n_hit), pa.array(m.items, pa.list_(pa.string())), pa.array(m.spans, pa.list_(pa.int32())), pa.array(m.longest), pa.array(m.longest_at), pa.array(m.longest_item, pa.string())]
+                yield pa.RecordBatch.from_arrays([part.column(0), *([] if last else [part.column(1)]), *found], names)
 
-    return docs.select(id_col, text_col).mapInArrow(scan, f"`{id_col}` {id_type}, {SCAN_SCHEMA}")
+    return docs.mapInArrow(scan, types + SCAN_SCHEMA)
 
 
 def _merged(spans: list[list[int]]) -> tuple[list[int], int]:
@@ -251,24 +255,31 @@ def _merged(spans: list[list[int]]) -> tuple[list[int], int]:
     return out, hit
 
 
+def _add_earlier(m: ShardMatches, n_hit: list, items: list, spans: list, longest: list, longest_at: list, longest_item: list) -> None:
+    """Adds what earlier blocks of tests found in the same rows; of equally long matches the first one in the text, then the earlier block's, stays."""
+    for r, hit in enumerate(n_hit):
+        if not hit:
+            continue
+        m.spans[r], m.n_hit[r] = _merged([spans[r], m.spans[r]])
+        m.items[r] = items[r] + m.items[r]
+        if (-longest[r], longest_at[r]) <= (-m.longest[r], m.longest_at[r]):
+            m.longest[r], m.longest_at[r], m.longest_item[r] = longest[r], longest_at[r], longest_item[r]
+
+
 def scan(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """One row per document: words, words hit, items met, spans hit (word begin, end, ...) and longest match.
+    """One row per row of docs: words, words hit, items met, spans hit (word begin, end, ...) and longest match.
 
-    With one block of tests (the usual case) the plan is a single pass without a
-    shuffle. With several, each block makes a pass, and rows of one document meet
-    by id (which must then be unique) to merge their spans.
+    One narrow pass per block of tests, without a shuffle: each pass adds to what
+    the earlier ones found in the row itself, so ids need not be unique or known.
     """
-    parts = [_scan_block(docs, id_col, text_col, test_set(block, window), window) for block in test_blocks(tests, item_col, item_text, block_words)]
-    if len(parts) == 1:
-        return parts[0]
-    union = parts[0]
-    for p in parts[1:]:
-        union = union.unionByName(p)
-    merge = F.udf(lambda s: _merged(s)[0], "array<int>")
-    best = F.max_by(F.struct("longest_match", "longest_at", "longest_item"), "longest_match")
-    df = union.groupBy(id_col).agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), merge(F.collect_list("spans")).alias("spans"), best.alias("best"))
-    size = F.aggregate(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("spans") / 2 - 1).cast("int")), F.lit(0).cast("long"), lambda a, k: a + F.when(F.size("spans") > 0, F.get("spans", 2 * k + 1) - F.get("spans", 2 * k)).otherwise(0))
-    return df.select(id_col, "n_words", size.alias("n_hit"), "items", "spans", "best.*").select(id_col, *[c.split()[0] for c in SCAN_SCHEMA.split(", ")])
+    out, first = docs.select(id_col, text_col), True
+    rest = test_blocks(tests, item_col, item_text, block_words)
+    block = next(rest)
+    while block is not None:
+        after = next(rest, None)
+        out = _scan_block(out, id_col, text_col, test_set(block, window), window, first, after is None)
+        block, first = after, False
+    return out
 
 
 def filter_clean(docs: DataFrame, tests: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
