@@ -1,10 +1,12 @@
 """Operators do the whole job: every row counts, whatever the size."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from veclume import registry
 from veclume.operators import matrix
+from veclume.plans.blocked import Nearest, exact, knn
 
 
 def test_power_iteration_over_all_vectors(spark, sf):
@@ -15,3 +17,35 @@ def test_power_iteration_over_all_vectors(spark, sf):
     v, top = np.array([r.v for r in found]), np.linalg.eigvalsh(x.T @ x)[-1]
     assert 0.9 * top < found[0].eigenvalue <= top * (1 + 1e-9) and np.isclose(v @ v, 1)
     assert matrix.gram(registry.table(spark, sf, "embeddings").where(F.lit(False)), "embedding").count() == 0
+
+
+@pytest.mark.parametrize("metric", ["hamming", "euclidean", "cosine", "dot", "manhattan"])
+def test_ties_beyond_any_slack_go_to_the_least_ids(spark, metric):
+    rng = np.random.default_rng(8)
+    one, other = rng.normal(size=8), rng.normal(size=8)
+    ids = rng.permutation(3000)
+    x = {int(i): (one if i % 3 else other).tolist() for i in ids}
+    df = spark.createDataFrame(list(x.items()), "vec_id long, embedding array<double>").coalesce(1)
+    q = spark.createDataFrame([(0, one.tolist()), (1, other.tolist())], "vec_id long, embedding array<double>")
+    found = knn(df, q, 10, metric).orderBy("query_id", "rank").collect()
+    first = {0: [i for i in range(3000) if i % 3][:10], 1: list(range(0, 30, 3))}
+    if metric == "dot" and one @ other > max(one @ one, other @ other):
+        raise AssertionError("choose other vectors")
+    want = {}
+    for k, v in enumerate((one, other)):
+        d = [exact(np.array([w]), np.array([v]), metric)[0] for w in (one, other)]
+        want[k] = first[0] if d[0] < d[1] else first[1]
+    assert {k: [r.id for r in found if r.query_id == k] for k in (0, 1)} == want
+
+
+def test_nearest_keeps_order_over_many_batches():
+    rng = np.random.default_rng(9)
+    x, q = rng.integers(-2, 3, (5000, 6)).astype(float), rng.integers(-2, 3, (7, 6)).astype(float)
+    ids = rng.permutation(5000)
+    for metric in ("euclidean", "hamming", "cosine", "chebyshev", "jaccard"):
+        best = Nearest(q, 12, metric)
+        for a in range(0, 5000, 700):
+            best.add(x[a : a + 700], ids[a : a + 700])
+        for r in range(7):
+            d = exact(x, np.broadcast_to(q[r], x.shape).copy(), metric)
+            assert best.id[best.row == r].tolist() == ids[np.lexsort((ids, d))[:12]].tolist()

@@ -1,9 +1,10 @@
 """Exact k nearest neighbours of a stated query set, in blocks, without a cross join.
 
 Queries come to the driver in blocks of bounded size; each block is broadcast as
-a matrix. A task holds running top-k candidates of each query while it streams
-over its rows (a matrix product a batch), and emits k rows a query; ``topk``
-merges them. The shuffle carries k rows a query and task, whatever the table.
+a matrix. A task holds the k least (exact distance, id) of each query while it
+streams over its rows and emits k rows a query; ``topk`` merges them. A matrix
+product a batch finds the rows within rounding of the k-th distance; all of
+them, however many tie, are ordered by exact distance and id. The shuffle carries k rows a query and task, whatever the table.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from veclume.operators.topk import topk
 #: Queries of a block, and bytes of its matrix, at most.
 BLOCK_QUERIES = 2048
 BLOCK_BYTES = 32 << 20
-#: Candidates kept beyond k, for ties within rounding of the matrix product.
-SLACK = 16
+#: Exact distances computed at once.
+CANDIDATES = 1 << 17
 
 
 def matrix(column: pa.Array, dimension: int | None = None) -> np.ndarray:
@@ -90,47 +91,71 @@ def query_blocks(queries: DataFrame, query_id: str, vec: str) -> Iterator[tuple[
         yield ids, np.array(rows, np.float64)
 
 
+def _rounding(x: np.ndarray, q: np.ndarray, d: np.ndarray, metric: str) -> np.ndarray:
+    """rows x queries bounds of what ``rough`` and ``exact`` may differ by."""
+    unit = 4 * (x.shape[1] + 4) * np.finfo(float).eps
+    if metric == "euclidean":
+        return unit * ((x * x).sum(1)[:, None] + (q * q).sum(1)[None, :])
+    if metric == "dot":
+        return unit * np.sqrt((x * x).sum(1))[:, None] * np.sqrt((q * q).sum(1))[None, :]
+    return np.full(d.shape, 2 * unit) if metric == "cosine" else unit * np.abs(d)
+
+
+class Nearest:
+    """The k least (exact distance, id) of each query over the rows seen so far."""
+
+    def __init__(self, queries: np.ndarray, k: int, metric: str) -> None:
+        self.queries, self.k, self.metric = queries, k, metric
+        self.row, self.id, self.d = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)  # by query, distance, id
+        self.bound = np.full(len(queries), np.inf)
+
+    def add(self, x: np.ndarray, ids: np.ndarray, skip: np.ndarray | None = None) -> None:
+        """x: rows with their ids; skip: queries x rows to leave out. What rounding leaves open is settled by exact distances."""
+        with np.errstate(invalid="ignore", over="ignore"):
+            d = rough(x, self.queries, self.metric)
+            slack = _rounding(x, self.queries, d, self.metric)
+            low, high = (d - slack).T, (d + slack).T
+        high = np.where(np.isfinite(high), high, np.inf)
+        if skip is not None:
+            high[skip] = np.inf
+        bound = self.bound
+        if high.shape[1] >= self.k:
+            bound = np.minimum(bound, np.partition(high, self.k - 1, axis=1)[:, self.k - 1])
+        near = ~(low > bound[:, None])  # distances that are not numbers stay in
+        if skip is not None:
+            near &= ~skip
+        row, col = np.nonzero(near)
+        for a in range(0, len(row), CANDIDATES):
+            r, c = row[a : a + CANDIDATES], col[a : a + CANDIDATES]
+            with np.errstate(invalid="ignore", over="ignore"):
+                self._merge(r, ids[c], exact(x[c], self.queries[r], self.metric))
+
+    def _merge(self, row: np.ndarray, ids: np.ndarray, d: np.ndarray) -> None:
+        row, ids, d = np.concatenate([self.row, row]), np.concatenate([self.id, ids]), np.concatenate([self.d, d])
+        order = np.lexsort((ids, d, row))
+        row, ids, d = row[order], ids[order], d[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        keep = rank < self.k
+        self.row, self.id, self.d = row[keep], ids[keep], d[keep]
+        last = rank == self.k - 1
+        self.bound[row[last]] = np.where(np.isnan(d[last]), np.inf, d[last])
+
+
 def _block(db: DataFrame, ids: list, q: np.ndarray, k: int, metric: str, db_id: str, vec: str, exclude_self: bool) -> DataFrame:
     held = db.sparkSession.sparkContext.broadcast((ids, q))
-    most = k + SLACK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, queries = held.value
-        best_d = np.full((len(names), 0), np.inf)
-        best_i = np.zeros((len(names), 0), np.int64)
-        best_v = np.zeros((len(names), 0, queries.shape[1]))
+        names = np.array(names)
+        best = Nearest(queries, k, metric)
         for batch in batches:
             if not len(batch):
                 continue
             x, own = matrix(batch.column(1), queries.shape[1]), batch.column(0).to_numpy(zero_copy_only=False)
             for a in range(0, len(x), 4096):
-                part, part_ids = x[a : a + 4096], own[a : a + 4096]
-                d = rough(part, queries, metric).T
-                if exclude_self:
-                    d[part_ids[None, :] == np.array(names)[:, None]] = np.inf
-                d = np.concatenate([best_d, d], axis=1)
-                if d.shape[1] > most:
-                    pick = np.argpartition(d, most - 1, axis=1)[:, :most]
-                else:
-                    pick = np.broadcast_to(np.arange(d.shape[1]), d.shape)
-                kept = best_d.shape[1]
-                old = np.minimum(pick, max(kept - 1, 0))
-                fresh = np.maximum(pick - kept, 0)
-                row = np.arange(len(names))[:, None]
-                is_old = pick < kept
-                if kept:
-                    best_i, best_v = np.where(is_old, best_i[row, old], part_ids[fresh]), np.where(is_old[:, :, None], best_v[row, old], part[fresh])
-                else:
-                    best_i, best_v = part_ids[fresh], part[fresh]
-                best_d = d[row, pick]
-        for r, name in enumerate(names):
-            ok = np.isfinite(best_d[r]) | np.isnan(best_d[r])
-            if not ok.any():
-                continue
-            i, v = best_i[r][ok], best_v[r][ok]
-            d = exact(v, np.broadcast_to(queries[r], v.shape), metric)
-            order = np.lexsort((i, d))[:k]
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(order), pa.int64()), pa.array(i[order]), pa.array(d[order])], ["query_id", "id", "distance"])
+                part_ids = own[a : a + 4096]
+                best.add(x[a : a + 4096], part_ids, part_ids[None, :] == names[:, None] if exclude_self else None)
+        yield pa.RecordBatch.from_arrays([pa.array(names[best.row], pa.int64()), pa.array(best.id), pa.array(best.d)], ["query_id", "id", "distance"])
 
     return db.select(F.col(db_id).cast("long"), vec).mapInArrow(run, "query_id long, id long, distance double")
 
