@@ -7,7 +7,7 @@ import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
-from veclume.llm import jaccard, quality, suffix
+from veclume.llm import jaccard, quality, secrets, suffix
 from veclume.llm.quality import CHUNK
 
 
@@ -66,3 +66,13 @@ def test_decontamination_keeps_rows_and_items_without_ids(spark, tmp_path):
     for t in ("documents", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
     assert [tuple(r) for r in suffix.decontamination_report(spark, str(tmp_path)).collect()] == con.execute(suffix.report_sql()).fetchall()
+
+
+def test_secrets_short_or_without_digits(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    table = secrets.train(docs)
+    keys = ["qZ8xVt3KpW", "XkqVzJwQpGtRbHxZ", "vQxZkWjYqPzKgXbVtRwQhJcFmLpD", "Zq8Lx3Vt0pK"]
+    rows = [(k, f"see {w} and understandingsomething1ofthewords done") for k, w in enumerate(keys)] + [(9, "international understanding of ordinary conversations")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.spans for r in secrets.scan(df, table).collect()} == {**{k: f"markov:4:{4 + len(w)}" for k, w in enumerate(keys)}, 9: ""}
+    assert not any(w in r.text for r in secrets.redact(df, table).collect() for w in keys)
