@@ -1,11 +1,13 @@
 """Operators do the whole job: every row counts, whatever the size."""
 
+import inspect
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from veclume import registry
-from veclume.operators import matrix
+from veclume.operators import graph, matrix
 from veclume.plans.blocked import Nearest, exact, knn
 
 
@@ -49,3 +51,30 @@ def test_nearest_keeps_order_over_many_batches():
         for r in range(7):
             d = exact(x, np.broadcast_to(q[r], x.shape).copy(), metric)
             assert best.id[best.row == r].tolist() == ids[np.lexsort((ids, d))[:12]].tolist()
+
+
+def test_spanning_tree_holds_no_points_on_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(graph, "TILE", 70)
+    rng = np.random.default_rng(10)
+    x = rng.integers(0, 4, (160, 3)).astype(float)  # copies and equal weights
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    core = graph.core_distances(df, 3)
+    c = np.array([r.core for r in core.orderBy("id").collect()])
+    m = np.maximum(np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)), np.maximum(c[:, None], c[None]))
+    seen, total = [0], 0.0
+    while len(seen) < 160:
+        rest = np.setdiff1d(np.arange(160), seen)
+        near = m[np.ix_(seen, rest)].min(axis=0)
+        total += near.min()
+        seen.append(int(rest[near.argmin()]))
+    monkeypatch.setattr(type(df), "collect", None)  # rows only stream, tile by tile
+    tree = graph.minimum_spanning_tree(df, core)
+    monkeypatch.undo()
+    edges, root = tree.collect(), list(range(160))
+    assert "max_points" not in inspect.signature(graph.minimum_spanning_tree).parameters
+    for e in edges:
+        a, b = root[e.source], root[e.target]
+        assert a != b
+        root = [a if r == b else r for r in root]
+    assert len(edges) == 159 and np.isclose(sum(e.weight for e in edges), total)
+    assert graph.minimum_spanning_tree(df.limit(0), core).count() == 0 and graph.minimum_spanning_tree(df.limit(1), core).count() == 0

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -10,11 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veclume.functions.vector import mutual_reachability
-from veclume.plans.blocked import knn, matrix
-from veclume.storage import kept
+from veclume.plans.blocked import CANDIDATES, knn, matrix
+from veclume.storage import kept, shared_dir
 
-#: Rows that a task compares at once in a Boruvka round.
+#: Points of a tile, and rows that a task compares with it at once, in a Boruvka round.
 TILE = 2048
+ROWS = 1024
 
 
 def core_distances(df: DataFrame, min_samples: int = 5, id_col: str = "vec_id", vec: str = "embedding", queries: DataFrame | None = None) -> DataFrame:
@@ -34,88 +37,94 @@ def pair_reachability(pairs: DataFrame, df: DataFrame, core: DataFrame, id_col:
     return pairs.join(a, "i").join(b, "j").select("i", "j", d.alias("d"))
 
 
-def _round(points: DataFrame, tile: tuple, after: int) -> DataFrame:
-    """Least outgoing edge of each component between the rows and a tile of points."""
+def _round(points: DataFrame, tile: tuple) -> DataFrame:
+    """Least outgoing edge of each component between the rows and a tile of points, by (exact weight, source, target)."""
     held = points.sparkSession.sparkContext.broadcast(tile)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, x, core, comp = held.value
-        best: dict[int, tuple[float, int, int]] = {}
+        unit = 4 * (x.shape[1] + 4) * np.finfo(float).eps
+        best: dict[int, tuple[float, int, int, int]] = {}
         for batch in batches:
             own, c, m = (batch.column(k).to_numpy() for k in (0, 2, 3))
             y = matrix(batch.column(1), x.shape[1])
-            for a in range(0, len(own), 1024):
-                part = slice(a, a + 1024)
-                d = np.sqrt(np.maximum((y[part] ** 2).sum(1)[:, None] + (x**2).sum(1)[None, :] - 2 * y[part] @ x.T, 0))
-                d = np.maximum(np.maximum(d, c[part][:, None]), core[None, :])
-                d[m[part][:, None] == comp[None, :]] = np.inf
-                low, high = np.minimum(own[part][:, None], ids[None, :]), np.maximum(own[part][:, None], ids[None, :])
-                least = d.min(axis=1)
-                for r in np.flatnonzero(np.isfinite(least)):
-                    ties = np.flatnonzero(d[r] <= least[r] + 1e-9)
-                    k = ties[np.lexsort((high[r, ties], low[r, ties]))[0]]
-                    edge = (float(least[r]), int(low[r, k]), int(high[r, k]))
-                    key = int(m[part][r])
-                    if key not in best or edge < best[key]:
-                        best[key] = edge
+            for a in range(0, len(own), ROWS):
+                part = slice(a, a + ROWS)
+                size = (y[part] ** 2).sum(1)[:, None] + (x**2).sum(1)[None, :]
+                d, floor = size - 2 * y[part] @ x.T, np.maximum(c[part][:, None], core[None, :]) ** 2
+                outside = (m[part][:, None] != comp[None, :]) & np.isfinite(d)
+                least = np.where(outside, np.maximum(d + unit * size, floor * (1 + unit)), np.inf).min(axis=1)
+                row, col = np.nonzero(outside & (np.maximum(d - unit * size, floor * (1 - unit)) <= least[:, None]))
+                for b in range(0, len(row), CANDIDATES):
+                    r, k = row[b : b + CANDIDATES], col[b : b + CANDIDATES]
+                    w = np.maximum(np.sqrt(((y[part][r] - x[k]) ** 2).sum(1)), np.maximum(c[part][r], core[k]))
+                    low, high, key = np.minimum(own[part][r], ids[k]), np.maximum(own[part][r], ids[k]), m[part][r]
+                    order = np.lexsort((high, low, w, key))
+                    for e in order[np.concatenate([[True], key[order][1:] != key[order][:-1]])] if len(order) else ():
+                        edge = (float(w[e]), int(low[e]), int(high[e]), int(comp[k[e]]))
+                        if int(key[e]) not in best or edge < best[int(key[e])]:
+                            best[int(key[e])] = edge
         rows = [(k, *e) for k, e in best.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int64(), pa.float64(), pa.int64(), pa.int64()))], ["comp", "weight", "source", "target"])
+        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()))], ["comp", "weight", "source", "target", "other"])
 
-    return points.select("id", "v", "core", "comp").mapInArrow(run, "comp long, weight double, source long, target long")
+    return points.select("id", "v", "core", "comp").mapInArrow(run, "comp long, weight double, source long, target long, other long")
 
 
-def minimum_spanning_tree(df: DataFrame, core: DataFrame, id_col: str = "vec_id", vec: str = "embedding", max_points: int = 200_000) -> DataFrame:
+def _tiles(points: DataFrame) -> Iterator[tuple]:
+    """Points in tiles of TILE rows, streamed through the driver."""
+    held = []
+    for row in points.select("id", "v", "core", "comp").toLocalIterator():
+        held.append(row)
+        if len(held) == TILE:
+            yield _tile(held)
+            held = []
+    if held:
+        yield _tile(held)
+
+
+def _tile(rows: list) -> tuple:
+    return np.array([r.id for r in rows]), np.array([r.v for r in rows], float), np.array([r.core for r in rows], float), np.array([r.comp for r in rows])
+
+
+def _roots(chosen: DataFrame) -> DataFrame:
+    """(comp, root) of components that chose an edge to another: pointers are doubled until none moves.
+
+    Edges have one order, so the choices make trees in which two components
+    chose each other's edge; the lesser of the two is the root.
+    """
+    back = chosen.select(F.col("comp").alias("other"), F.col("other").alias("back"))
+    mutual = (F.col("back") == F.col("comp")) & (F.col("comp") < F.col("other"))
+    at = kept(chosen.join(back, "other", "left").select("comp", F.when(mutual, F.col("comp")).otherwise(F.col("other")).alias("root")), "mst-roots")
+    while True:
+        far = at.select(F.col("comp").alias("root"), F.col("root").alias("far"))
+        new = kept(at.join(far, "root", "left").select("comp", F.coalesce("far", "root").alias("root"), (F.col("far") != F.col("root")).alias("moved")), "mst-roots")
+        at = new.select("comp", "root")
+        if not new.where("moved").limit(1).count():
+            return at
+
+
+def minimum_spanning_tree(df: DataFrame, core: DataFrame, id_col: str = "vec_id", vec: str = "embedding") -> DataFrame:
     """(source, target, weight): n - 1 edges of the tree over mutual reachability, by Boruvka rounds.
 
     Each round compares all rows with tiles of ``TILE`` rows and keeps the least
-    edge of each component (partial minima on the tasks). Labels of the points
-    are on the driver, so points are bounded by ``max_points``; more raise.
+    edge of each component (partial minima on the tasks, a table a tile). Labels
+    and edges are tables in the shared folder, so points have no bound; the work
+    is that of all pairs a round.
     """
-    spark = df.sparkSession
-    points = kept(df.select(F.col(id_col).cast("long").alias("id"), F.col(vec).alias("v")).join(core, "id"), "mst")
-    n = points.count()
-    if n > max_points:
-        raise ValueError(f"{n} points; at most {max_points}")
-    ids = [r.id for r in points.select("id").orderBy("id").collect()]
-    comp = {i: i for i in ids}
-    edges: list[tuple[int, int, float]] = []
-    while len(edges) < n - 1:
-        labels = spark.createDataFrame(list(comp.items()), "id long, comp long")
-        now = points.join(labels, "id")
-        best: dict[int, tuple[float, int, int]] = {}
-        held, size = [], 0
-
-        def flush(rows: list) -> None:
-            tile = np.array([r.id for r in rows]), np.array([r.v for r in rows], float), np.array([r.core for r in rows]), np.array([r.comp for r in rows])
-            for r in _round(now, tile, 0).groupBy("comp").agg(F.min(F.struct("weight", "source", "target")).alias("e")).collect():
-                e = tuple(r.e)
-                if r.comp not in best or e < best[r.comp]:
-                    best[r.comp] = e
-
-        for row in now.orderBy("id").toLocalIterator():
-            held.append(row)
-            size += 1
-            if size == TILE:
-                flush(held)
-                held, size = [], 0
-        if held:
-            flush(held)
-
-        root = {c: c for c in set(comp.values())}
-
-        def find(c: int) -> int:
-            while root[c] != c:
-                root[c] = root[root[c]]
-                c = root[c]
-            return c
-
-        before = len(edges)
-        for w, s, t in sorted(set(best.values())):
-            a, b = find(comp[s]), find(comp[t])
-            if a != b:
-                root[max(a, b)] = min(a, b)
-                edges.append((s, t, w))
-        if len(edges) == before:
+    points = kept(df.select(F.col(id_col).cast("long").alias("id"), F.col(vec).alias("v")).join(core, "id").withColumn("comp", F.col("id")), "mst")
+    edges: list[DataFrame] = []
+    while True:
+        path = f"{shared_dir(df.sparkSession).rstrip('/')}/mst-least-{uuid.uuid4().hex}"
+        for tile in _tiles(points):
+            _round(points, tile).groupBy("comp").agg(F.min(F.struct("weight", "source", "target", "other")).alias("e")).write.mode("append").parquet(path)
+        if not points.limit(1).count():
+            break
+        found = df.sparkSession.read.parquet(path).groupBy("comp").agg(F.min("e").alias("e"))
+        chosen = kept(found.select("comp", "e.*"), "mst-chosen")
+        if not chosen.limit(1).count():
             break
-        comp = {i: find(c) for i, c in comp.items()}
-    return spark.createDataFrame(edges, "source long, target long, weight double")
+        edges.append(chosen.select("source", "target", "weight").distinct())
+        points = kept(points.join(_roots(chosen.select("comp", "other")), "comp", "left").select("id", "v", "core", F.coalesce("root", "comp").alias("comp")), "mst")
+    if not edges:
+        return df.sparkSession.createDataFrame([], "source long, target long, weight double")
+    return reduce(DataFrame.unionByName, edges)
