@@ -7,7 +7,7 @@ import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
-from veclume.llm import jaccard, quality, secrets, suffix
+from veclume.llm import jaccard, langid, quality, secrets, suffix
 from veclume.llm.quality import CHUNK
 
 
@@ -76,3 +76,16 @@ def test_secrets_short_or_without_digits(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id: r.spans for r in secrets.scan(df, table).collect()} == {**{k: f"markov:4:{4 + len(w)}" for k, w in enumerate(keys)}, 9: ""}
     assert not any(w in r.text for r in secrets.redact(df, table).collect() for w in keys)
+
+
+def test_more_languages_than_bits_of_a_word(spark):
+    rng = np.random.default_rng(7)
+    rows, text = [], {}
+    for k in range(70):
+        words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7)) for _ in range(12)]
+        text[f"l{k:02d}"] = " ".join(words)
+        rows += [(len(rows) + i, " ".join(rng.permutation(words)), f"l{k:02d}") for i in range(3 if k >= 64 else 6)]
+    filters = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert filters.languages == sorted(text)
+    asked = spark.createDataFrame([(k, t, lang) for k, (lang, t) in enumerate(text.items())], "doc_id long, text string, lang string")
+    assert all(r.lang_pred == r.lang for r in langid.predict(asked, filters, keep=("lang",)).collect())

@@ -2,7 +2,8 @@
 
 One table of words holds a filter per language side by side: bit l of a cell
 belongs to language l, so a look-up of an n-gram (``HASHES`` cells, joined by
-AND) gives the set of all languages that hold it at once. Sums of the bits over
+AND) gives the set of all languages that hold it at once. Beyond 64 languages
+there are several such tables of 64 each (``planes``). Sums of the bits over
 a text give each language's count of n-grams, which is corrected for the false
 positives of its filter: (count - f n) / (1 - f), f the fill of its bits to the
 power of the number of hashes. The greatest corrected share decides; ties go to
@@ -43,7 +44,8 @@ LEAST_DOCS = 3
 RIVAL = 0.3
 #: N-grams kept of a language, the most frequent.
 GRAMS_KEPT = 60_000
-MAX_LANGUAGES = 64
+#: Languages of a table.
+PLANE = 64
 
 _FOLD = LOWER.copy()
 _FOLD[[b for b in range(128) if not (97 <= b <= 122 or 65 <= b <= 90)]] = 0x20
@@ -83,21 +85,24 @@ def cells(keys: np.ndarray) -> list[np.ndarray]:
 
 @dataclass
 class Filters:
-    """The languages, in order, and the table of their bits."""
+    """The languages, in order, and the table of their bits; with more than PLANE languages one table after another."""
 
     languages: list[str]
     table: np.ndarray
 
     def __post_init__(self) -> None:
-        fill = [float(((self.table >> self.table.dtype.type(k)) & self.table.dtype.type(1)).mean()) for k in range(len(self.languages))]
+        self.planes = self.table.reshape(-1, 1 << BITS)
+        one = self.table.dtype.type
+        fill = [float(((self.planes[k // PLANE] >> one(k % PLANE)) & one(1)).mean()) for k in range(len(self.languages))]
         self.false_rate = np.array(fill) ** HASHES
 
-    def masks(self, keys: np.ndarray) -> np.ndarray:
-        """Bit sets of the languages that hold each n-gram."""
+    def masks(self, keys: np.ndarray, plane: int = 0) -> np.ndarray:
+        """Bit sets of the languages of a plane that hold each n-gram."""
+        table = self.planes[plane]
         a, *rest = cells(keys)
-        out = self.table[a]
+        out = table[a]
         for b in rest:
-            out &= self.table[b]
+            out &= table[b]
         return out
 
     def predict(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -106,9 +111,11 @@ class Filters:
         if not self.languages:
             return np.full(n, -1), np.zeros(n)
         keys, first = gram_keys(buf, offs)
-        masks = self.masks(keys)
-        one = masks.dtype.type(1)
-        counts = np.stack([row_sum((masks >> masks.dtype.type(k)) & one, first) for k in range(len(self.languages))], axis=1)
+        one, sums = self.table.dtype.type, []
+        for plane in range(len(self.planes)):
+            masks = self.masks(keys, plane)
+            sums += [row_sum((masks >> one(k)) & one(1), first) for k in range(min(PLANE, len(self.languages) - plane * PLANE))]
+        counts = np.stack(sums, axis=1)
         total = np.maximum(np.diff(first), 1)[:, None]
         share = np.clip((counts / total - self.false_rate) / np.maximum(1 - self.false_rate, 1e-9), 0, 1)
         best = share.argmax(axis=1)
@@ -147,13 +154,12 @@ def _gram_counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Filters:
     """Filters of the languages in docs; the driver gets at most GRAMS_KEPT n-grams a language."""
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = {r[0]: r[1] for r in known.groupBy(lang_col).agg(F.count("*")).orderBy(F.desc("count(1)"), lang_col).limit(MAX_LANGUAGES).collect()}
+    sizes = {r[0]: r[1] for r in known.groupBy(lang_col).agg(F.count("*")).collect()}
     if not sizes:
         return Filters([], np.zeros(1 << BITS, np.uint8))
     whole = 1 << 40
-    chosen = F.lit(False)
-    for lang, n in sizes.items():
-        chosen = chosen | ((F.col(lang_col) == lang) & (F.pmod(F.xxhash64(F.col(id_col), F.lit(7)), F.lit(whole)) < int(whole * min(1.0, sample / n))))
+    part = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, int(whole * min(1.0, sample / n)))])
+    chosen = F.pmod(F.xxhash64(F.col(id_col), F.lit(7)), F.lit(whole)) < F.element_at(part, F.col(lang_col))
     picked = known.where(chosen)
     held = {r[0]: r[1] for r in picked.groupBy(lang_col).agg(F.count("*")).collect()}
     languages = sorted(held)
@@ -165,12 +171,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     ranked = kept.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("place") <= GRAMS_KEPT)
     rows = ranked.select("lang", "gram", "n").toArrow()
     kind = np.uint8 if len(languages) <= 8 else np.uint16 if len(languages) <= 16 else np.uint64
-    table = np.zeros(1 << BITS, kind)
+    table = np.zeros((max(1, -(-len(languages) // PLANE)), 1 << BITS), kind)
     lang, gram, n = rows.column("lang").to_numpy(zero_copy_only=False), rows.column("gram").to_numpy(), rows.column("n").to_numpy()
     for k, name in enumerate(languages):
         own = gram[(lang == name) & (n >= least[name])].astype(U64)
         for c in cells(own):
-            table[c] |= kind(1 << k)
+            table[k // PLANE, c] |= kind(1 << k % PLANE)
     return Filters(languages, table)
 
 
