@@ -44,6 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veclume.llm.arrow import by_groups, over_arrow
 from veclume.llm.graph import connected_components
 from veclume.llm.scratch import Scratch
 from veclume.llm.textnum import SPACED_WORDS, U64, blocks, mix, row_sets, words_of
@@ -181,7 +182,7 @@ def _profile(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataF
         if held:
             yield from counted()
 
-    return docs.select(id_col, text_col).mapInArrow(run, "kind byte, a long, b long, c long, d long, bits array<long>, fold array<long>")
+    return over_arrow(docs.select(id_col, text_col), run, "kind byte, a long, b long, c long, d long, bits array<long>, fold array<long>")
 
 
 def choose_boundary(costs: dict[int, tuple[float, float, float]]) -> int:
@@ -255,7 +256,7 @@ def _keys(docs: DataFrame, id_col: str, text_col: str, order, boundary: int, ran
         if n:
             yield from packed()
 
-    return docs.select(id_col, text_col).mapInArrow(run, "part long, keys binary, ids binary")
+    return over_arrow(docs.select(id_col, text_col), run, "part long, keys binary, ids binary")
 
 
 def _planes(ids: np.ndarray) -> bytes:
@@ -270,17 +271,21 @@ def _unplanes(blob: bytes) -> np.ndarray:
 def _shared(packed: DataFrame) -> DataFrame:
     """(key, doc) of the keys of two or more documents."""
 
-    def run(group: pa.Table) -> pa.Table:
-        k = np.concatenate([np.frombuffer(x.as_py(), U64) for x in group.column("keys")])
-        d = np.concatenate([_unplanes(x.as_py()) for x in group.column("ids")])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, ids = [], []
+        for batch in batches:
+            keys += [np.frombuffer(x.as_py(), U64) for x in batch.column("keys")]
+            ids += [_unplanes(x.as_py()) for x in batch.column("ids")]
+        k, d = np.concatenate(keys), np.concatenate(ids)
+        keys, ids = [], []
         at = np.lexsort((d, k))
         k, d = k[at], d[at]
         same = np.zeros(len(k) + 1, bool)
         same[1:-1] = k[1:] == k[:-1]
         keep = same[1:] | same[:-1]
-        return pa.table({"key": k[keep].view(np.int64), "doc": d[keep]})
+        yield pa.RecordBatch.from_arrays([pa.array(k[keep].view(np.int64)), pa.array(d[keep])], ["key", "doc"])
 
-    return packed.groupBy("part").applyInArrow(run, "key long, doc long")
+    return by_groups(packed, "part", run, "key long, doc long")
 
 
 def _involved_table(ids: DataFrame) -> np.ndarray:
@@ -312,7 +317,7 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, involved) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(blobs, pa.binary())], ["doc", "n", "tokens"])
 
     rows = _with_slot(docs.where(F.col(id_col).isNotNull()).select(id_col, text_col), id_col)
-    return rows.mapInArrow(run, "doc long, n long, tokens binary")
+    return over_arrow(rows, run, "doc long, n long, tokens binary")
 
 
 def _tokens(blob: bytes) -> np.ndarray:
@@ -339,7 +344,7 @@ def _possible(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
                 keep.append(differ * (100 + percent) <= (100 - percent) * (na + nb) and min(na, nb) * 100 >= max(na, nb) * percent)
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long")
+    return over_arrow(both, run, "a long, b long")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -359,7 +364,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     linked.append(100 * common >= percent * (len(x) + len(y) - common))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
-    return both.mapInArrow(run, "a long, b long, linked boolean")
+    return over_arrow(both, run, "a long, b long, linked boolean")
 
 
 def _close(a: str, b: str, percent: int):
@@ -523,7 +528,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pe
                 hit = table.value[batch.column(slot_at).to_numpy()]
                 yield batch.filter(pa.array(hit == wanted)).select(list(range(slot_at)))
 
-        return _with_slot(docs, id_col).mapInArrow(run, docs.schema)
+        return over_arrow(_with_slot(docs, id_col), run, docs.schema)
 
     gone = gone.select(F.col("doc").alias("__gone"))
     checked = part(True)

@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from veclume.llm.arrow import over_arrow
 from veclume.llm.textnum import LOWER, U64, blocks, mix, row_sum
 
 GRAM = 4
@@ -148,7 +149,7 @@ def _gram_counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
         for lang in list(held):
             yield counted(lang)
 
-    return docs.select(lang_col, text_col).mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return over_arrow(docs.select(lang_col, text_col), run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Filters:
@@ -194,7 +195,7 @@ def predict(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col:
                 best, score = own.predict(buf, offs)
                 yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(i, j - i) for c in range(batch.num_columns - 1)], pa.array(names[best], pa.string()), pa.array(score)], [id_col, *keep, "lang_pred", "score"])
 
-    return rows.mapInArrow(run, schema)
+    return over_arrow(rows, run, schema)
 
 
 def language_report(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,6 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veclume.llm.arrow import over_arrow
 from veclume.llm.textnum import blocks
 from veclume.llm.tokens import encoder, ids_crc32
 
@@ -204,7 +205,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", end_id
         yield from rows(packer.finished() + packer.finish())
 
     schema = f"`{id_col}` {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long" + ", ids array<int>" * with_ids
-    return docs.select(id_col, text_col, prompt.alias("__prompt")).mapInArrow(run, schema)
+    return over_arrow(docs.select(id_col, text_col, prompt.alias("__prompt")), run, schema)
 
 
 def packing_report(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,33 +10,23 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one is set only where it is unset, as in tests."""
+    """The folder of spark.checkpoint.dir; in local mode one is set where it is unset, as in tests."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         at = held.get() if held.isDefined() else None
     if not at:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = f"file://{tempfile.mkdtemp(prefix='veclume-')}"
         spark.sparkContext.setCheckpointDir(at)
     return at
 
 
-#: Rows of an Arrow batch of texts; Spark's default holds tens of MB of them several times over.
-BATCH_ROWS = 2000
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Have texts come to Python in batches of BATCH_ROWS rows at most, where the session asks for larger ones."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
-
-
 class Scratch:
     """A folder of Parquet tables of one operator's run."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
-        small_batches(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.count = 0

@@ -28,6 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veclume.llm.arrow import over_arrow
 from veclume.llm.scratch import Scratch
 from veclume.llm.textnum import U64, blocks
 from veclume.llm.tokens import encoder, ids_crc32
@@ -164,7 +165,7 @@ def _ordered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(part[i:j].astype(np.int64)), doc.slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(packed, pa.binary())], ["part", "id", "tie", "packed"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("tie"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "part long, id long, tie long, packed binary").repartition(n, "part").sortWithinPartitions("part", "id", "tie")
+    return over_arrow(rows, run, "part long, id long, tie long, packed binary").repartition(n, "part").sortWithinPartitions("part", "id", "tie")
 
 
 def write_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, tokenizer: str | None = None, file_ids: int = FILE_IDS) -> None:
@@ -208,7 +209,7 @@ def write_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                 i = j
         yield from flush()
 
-    _ordered(docs, id_col, text_col).mapInArrow(run, FILE_SCHEMA).write.parquet(path)
+    over_arrow(_ordered(docs, id_col, text_col), run, FILE_SCHEMA).write.parquet(path)
 
 
 def read_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
@@ -237,7 +238,7 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFram
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(out, names)
 
-    return files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    return over_arrow(files, run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
 def token_file_report(spark: SparkSession, sf_dir: str) -> DataFrame:

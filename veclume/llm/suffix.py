@@ -27,11 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veclume.llm.arrow import over_arrow
 from veclume.llm.textnum import ALNUM_WORDS, U64, Words, blocks, grams, row_sum, text_buffer, words_of
 
 WINDOW = 10
 BLOCK_WORDS = 2_000_000
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 2 << 20
 _FILTER_BITS = 20
 
 
@@ -239,7 +240,7 @@ def _scan_block(docs: DataFrame, id_col: str, text_col: str, tests: TestSet, win
                 found = [pa.array(m.n_words), pa.array(m.n_hit), pa.array(m.items, pa.list_(pa.string())), pa.array(m.spans, pa.list_(pa.int32())), pa.array(m.longest), pa.array(m.longest_at), pa.array(m.longest_item, pa.string())]
                 yield pa.RecordBatch.from_arrays([part.column(0), *([] if last else [part.column(1)]), *found], names)
 
-    return docs.mapInArrow(scan, types + SCAN_SCHEMA)
+    return over_arrow(docs, scan, types + SCAN_SCHEMA)
 
 
 def _merged(spans: list[list[int]]) -> tuple[list[int], int]:
@@ -294,7 +295,7 @@ def filter_clean(docs: DataFrame, tests: DataFrame, text_col: str = "text", item
                 for i, j, buf, offs in blocks(batch.column(at), SHARD_BYTES):
                     yield batch.slice(i, j - i).filter(pa.array(match_block(buf, offs, own, window).n_hit == 0))
 
-        docs = docs.mapInArrow(clean, docs.schema)
+        docs = over_arrow(docs, clean, docs.schema)
     return docs
 
 

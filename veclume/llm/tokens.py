@@ -24,7 +24,7 @@ from tokenizers import Tokenizer
 from veclume.llm.textnum import U64, span_hash
 
 #: Distinct pre-tokens kept in a worker; beyond it the cache starts anew.
-CACHE_KEPT = 1_500_000
+CACHE_KEPT = 400_000
 
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 #: White space beyond the separators that a Unicode \s takes.

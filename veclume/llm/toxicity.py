@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veclume.llm.arrow import over_arrow
 from veclume.llm.boosting import Boosted, Isotonic
 from veclume.llm.scratch import Scratch
 from veclume.llm.textnum import LOWER, U64, Words, blocks, row_sum, span_hash, words_of
@@ -202,7 +203,7 @@ def _word_counts(sample: DataFrame) -> DataFrame:
                 n = np.diff(np.concatenate([at, [len(keys)]]))
                 yield pa.RecordBatch.from_arrays([pa.array(uniq.view(np.int64)), pa.array(t), pa.array(n)], ["key", "t", "n"])
 
-    return sample.select("doc", "text", "toxic").mapInArrow(run, "key long, t long, n long").groupBy("key").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
+    return over_arrow(sample.select("doc", "text", "toxic"), run, "key long, t long, n long").groupBy("key").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
@@ -230,7 +231,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 x = features(buf, offs, held.value, toxic)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(toxic), pa.array([r.tobytes() for r in x], pa.binary())], ["doc", "toxic", "x"])
 
-    found = picked.select("doc", "text", "toxic").mapInArrow(run, f"doc {docs.schema[id_col].dataType.simpleString()}, toxic long, x binary").orderBy("doc", "x").toArrow()
+    found = over_arrow(picked.select("doc", "text", "toxic"), run, f"doc {docs.schema[id_col].dataType.simpleString()}, toxic long, x binary").orderBy("doc", "x").toArrow()
     x = np.array([np.frombuffer(b.as_py()) for b in found.column("x")]).reshape(-1, FEATURES)
     y = found.column("toxic").to_numpy().astype(float)
     fold = np.arange(len(y)) % FOLDS
@@ -252,7 +253,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(i, j - i) for c in range(batch.num_columns - 1)], pa.array(held.value.score(buf, offs))], [id_col, *keep, "score"])
 
     schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in (id_col, *keep)) + ", score double"
-    return rows.mapInArrow(run, schema)
+    return over_arrow(rows, run, schema)
 
 
 def filter_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -265,7 +266,7 @@ def filter_clean(docs: DataFrame, model: Model, text_col: str = "text", threshol
             for i, j, buf, offs in blocks(batch.column(at)):
                 yield batch.slice(i, j - i).filter(pa.array(held.value.score(buf, offs) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return over_arrow(docs, run, docs.schema)
 
 
 def held_out(id_col: str = "doc_id") -> F.Column:

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veclume.llm.arrow import over_arrow
+
 TOKEN = re.compile(r"[a-z0-9]+")
 
 
@@ -137,7 +139,7 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", scope
                 ran.append(n)
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, pa.string()) for x in (host, path, rule, verdict, pattern)], pa.array(ran, pa.int64())], [id_col, "host", "path", "rule", "verdict", "pattern", "regexes_run"])
 
-    return pages.select(id_col, url_col).mapInArrow(run, f"`{id_col}` {id_type}, host string, path string, rule string, verdict string, pattern string, regexes_run long")
+    return over_arrow(pages.select(id_col, url_col), run, f"`{id_col}` {id_type}, host string, path string, rule string, verdict string, pattern string, regexes_run long")
 
 
 def url_report(spark: SparkSession, sf_dir: str) -> DataFrame:
