@@ -1,17 +1,23 @@
-"""Benchmark decontamination by suffix arrays of the training text.
-
-Each block of training text (a shard) is turned into words and a suffix array
-is built over the positions that can begin a match: those whose leading word
-pair occurs in some test item (a window of one word: whose word does). Every
-test suffix is then binary-searched in every shard; its interval of the array
-gives all verbatim occurrences with their places, and runs of occurrences on
-one diagonal give the longest verbatim matches.
-
-Words: A-Z lower-cased, then runs of digits, letters and non-ASCII characters.
-Null or empty text has no words, is never contaminated and stays. A test item
-without words (or null) never matches; repeated items each count. Items without
-an id hit like others and stand in ``items`` as null. Rows keep their
-multiplicity. Extra columns pass through ``filter_clean`` untouched.
+"""Benchmark decontamination by stored suffix arrays of the training text.
+
+``build`` turns the training text into shards of about ``SHARD_BYTES``. A shard
+has its words as ranks in its own sorted vocabulary, and an array of the
+positions of all of them, sorted by the suffixes that begin there as far as
+``DEPTH`` words (ends of documents come first, ties by position). Shards know
+nothing of any test set and are stored as rows of a Parquet table, so a new
+benchmark needs no new pass over the texts.
+
+``search`` looks up every test suffix in every shard by binary search, a word
+at a time: the interval of the array narrows until the window of ``window``
+words is met, and what is left are all its verbatim occurrences. Runs of
+occurrences on one diagonal are the longest verbatim matches, with their places.
+
+Words: A-Z lower-cased, then runs of digits, letters and non-ASCII characters,
+compared by 64-bit hashes. Null or empty text has no words, is never
+contaminated and stays. A test item without words (or null) never matches;
+repeated items each count. Items without an id hit like others and stand in
+``items`` as null. Rows keep their multiplicity, whatever their ids. Extra
+columns are ignored by ``scan`` and pass through ``filter_clean`` untouched.
 
 The test set is read in blocks of at most ``block_words`` words, each of which
 is broadcast on its own, so what is broadcast has a fixed bound.
@@ -24,186 +30,178 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veclume.llm.arrow import over_arrow
-from veclume.llm.textnum import ALNUM_WORDS, U64, Words, blocks, grams, row_sum, text_buffer, words_of
+from veclume.llm.rows import fresh, without
+from veclume.llm.scratch import Scratch
+from veclume.llm.textnum import ALNUM_WORDS, U64, blocks, row_sum, text_buffer, words_of
 
 WINDOW = 10
-BLOCK_WORDS = 2_000_000
-SHARD_BYTES = 2 << 20
-_FILTER_BITS = 20
+#: Words by which suffixes are sorted, a power of two.
+DEPTH = 16
+BLOCK_WORDS = 500_000
+SHARD_BYTES = 3 << 20
 
 
 @dataclass
 class TestSet:
-    """Distinct windows of some test items, ready for search."""
+    """The windows of some test items: word hashes, and begin, size, item and place in the item of each window."""
 
-    keys: np.ndarray  # windows x WINDOW word hashes, zero-padded
-    lens: np.ndarray  # words of each window
-    use_window: np.ndarray  # for each use of a window: its window, item and place
-    use_item: np.ndarray
-    use_at: np.ndarray
+    words: np.ndarray
+    begin: np.ndarray
+    size: np.ndarray
+    item: np.ndarray
+    place: np.ndarray
     items: list[str | None]
-    pairs: np.ndarray  # sorted hashes of leading pairs
-    singles: np.ndarray  # sorted hashes of one-word windows
-    maybe: np.ndarray  # bit table over both
-
-    @property
-    def empty(self) -> bool:
-        return not len(self.lens)
-
-
-def _lookup_table(*keys: np.ndarray) -> np.ndarray:
-    table = np.zeros(1 << _FILTER_BITS, bool)
-    for k in keys:
-        table[(k >> U64(64 - _FILTER_BITS)).astype(np.int64)] = True
-    return table
 
 
 def test_set(items: list[tuple[str | None, str | None]], window: int = WINDOW) -> TestSet:
-    column = pa.array([t for _, t in items], pa.large_string())
-    buf, offs = text_buffer(column)
+    buf, offs = text_buffer(pa.array([t for _, t in items], pa.large_string()))
     words = words_of(buf, offs, ALNUM_WORDS)
-    h, rows, lens, use_item, use_at = words.hashes(), [], [], [], []
-    for i, (a, b) in enumerate(zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True)):
-        n = b - a
-        for j in range(max(1, n - window + 1) if n else 0):
-            size = min(window, n)
-            row = np.zeros(window, U64)
-            row[:size] = h[a + j : a + j + size]
-            rows.append(row)
-            lens.append(size)
-            use_item.append(i)
-            use_at.append(j)
-    keys = np.array(rows, U64).reshape(-1, window)
-    lens = np.array(lens, np.int64)
-    both = np.concatenate([keys, lens[:, None].astype(U64)], axis=1)
-    _, at, use_window = np.unique(both, axis=0, return_index=True, return_inverse=True)
-    keys, lens = keys[at], lens[at]
-    two = keys[lens >= 2]
-    pairs = np.unique(_pair(two[:, 0], two[:, 1])) if len(two) and window > 1 else np.zeros(0, U64)
-    singles = np.unique(keys[lens == 1, 0]) if len(keys) else np.zeros(0, U64)
-    return TestSet(keys, lens, use_window.reshape(-1), np.array(use_item, np.int64), np.array(use_at, np.int64), [i for i, _ in items], pairs, singles, _lookup_table(pairs, singles))
-
-
-def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return grams(np.stack([a, b], axis=1).reshape(-1), 2)[::2] if len(a) else np.zeros(0, U64)
-
-
-def _within(sorted_keys: np.ndarray, values: np.ndarray) -> np.ndarray:
-    if not len(sorted_keys):
-        return np.zeros(len(values), bool)
-    at = np.minimum(np.searchsorted(sorted_keys, values), len(sorted_keys) - 1)
-    return sorted_keys[at] == values
-
-
-class SuffixArray:
-    """Sorted suffixes of a shard, from the positions that can begin a match, cut at ``depth`` words."""
-
-    def __init__(self, words: Words, tests: TestSet, depth: int) -> None:
-        h = words.hashes()
-        n = len(h)
-        end = words.first[words.row + 1] if n else np.zeros(0, np.int64)
-        begins = np.zeros(n, bool)
-        if n > 1 and len(tests.pairs):
-            g = grams(h, 2)
-            hit = np.flatnonzero(tests.maybe[(g >> U64(64 - _FILTER_BITS)).astype(np.int64)])
-            hit = hit[_within(tests.pairs, g[hit])]
-            begins[hit[end[hit] > hit + 1]] = True
-        if len(tests.singles):
-            begins |= _within(tests.singles, h)
-        at = np.flatnonzero(begins)
-        columns = np.zeros((len(at), depth), U64)
-        for k in range(depth):
-            ok = at + k < end[at]
-            columns[ok, k] = h[at[ok] + k]
-        order = np.lexsort(columns.T[::-1]) if len(at) else np.zeros(0, np.int64)
-        self.at, self.columns = at[order], columns[order]
-
-    def search(self, keys: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """[low, high) of the suffixes that begin with keys[i, :lens[i]], for each i."""
-        return self._bound(keys, lens, False), self._bound(keys, lens, True)
-
-    def _bound(self, keys: np.ndarray, lens: np.ndarray, after: bool) -> np.ndarray:
-        low, high = np.zeros(len(keys), np.int64), np.full(len(keys), len(self.at), np.int64)
-        depth = keys.shape[1]
-        used = np.arange(depth)[None, :] < lens[:, None]
+    n = words.counts
+    count = np.where(n > 0, np.maximum(n - window + 1, 1), 0)
+    item = np.repeat(np.arange(len(items)), count)
+    place = np.arange(len(item)) - np.repeat(np.cumsum(count) - count, count)
+    return TestSet(words.hashes(), words.first[item] + place, np.minimum(n, window)[item], item, place, [i for i, _ in items])
+
+
+def suffix_order(ranks: np.ndarray, first: np.ndarray, depth: int = DEPTH) -> np.ndarray:
+    """Positions of all words, sorted by the suffixes from there on (within their rows) as far as depth words; ties by position."""
+    n = len(ranks)
+    if not n:
+        return np.zeros(0, np.int32)
+    end = np.repeat(first[1:], np.diff(first))
+    kind, reach = ranks.astype(np.int64) + 1, 1
+    while reach < depth:
+        at = np.arange(n) + reach
+        after = np.where(at < end, kind[np.minimum(at, n - 1)], 0)
+        found, kind = np.unique(kind * (int(kind.max()) + 1) + after, return_inverse=True)
+        kind, reach = kind.astype(np.int64) + 1, 2 * reach
+        if len(found) == n:
+            break
+    return np.argsort(kind, kind="stable").astype(np.int32)
+
+
+@dataclass
+class Shard:
+    """Words of some rows (row r: first[r] to first[r + 1]) as ranks in a sorted vocabulary, and their sorted suffixes."""
+
+    first: np.ndarray
+    vocabulary: np.ndarray
+    ranks: np.ndarray
+    order: np.ndarray
+
+    @classmethod
+    def of(cls, buf: np.ndarray, offs: np.ndarray, depth: int = DEPTH) -> Shard:
+        words = words_of(buf, offs, ALNUM_WORDS)
+        vocabulary, ranks = np.unique(words.hashes(), return_inverse=True)
+        ranks = ranks.astype(np.int32)
+        return cls(words.first, vocabulary, ranks, suffix_order(ranks, words.first, depth))
+
+    def find(self, tests: TestSet) -> tuple[np.ndarray, np.ndarray]:
+        """(window, position) of all occurrences of the windows of tests."""
+        none = np.zeros(0, np.int64)
+        if not len(self.ranks) or not len(tests.begin):
+            return none, none
+        at = np.minimum(np.searchsorted(self.vocabulary, tests.words), len(self.vocabulary) - 1)
+        rank = np.where(self.vocabulary[at] == tests.words, at, -1)
+        lost = np.concatenate([[0], np.cumsum(rank < 0)])
+        window = np.flatnonzero(lost[tests.begin + tests.size] == lost[tests.begin])
+        row_end = np.repeat(self.first[1:], np.diff(self.first))
+        low, high = np.zeros(len(window), np.int64), np.full(len(window), len(self.order), np.int64)
+        for k in range(int(tests.size.max(initial=0))):
+            more = np.flatnonzero(tests.size[window] > k)
+            key = rank[tests.begin[window[more]] + k]
+            low[more], high[more] = self._narrow(low[more], high[more], key, k, row_end), self._narrow(low[more], high[more], key + 1, k, row_end)
+            open_ = high > low
+            window, low, high = window[open_], low[open_], high[open_]
+            if not window.size:
+                return none, none
+        size = high - low
+        begin = np.cumsum(size) - size
+        return np.repeat(window, size), self.order[np.repeat(low - begin, size) + np.arange(size.sum())].astype(np.int64)
+
+    def _narrow(self, low: np.ndarray, high: np.ndarray, key: np.ndarray, k: int, row_end: np.ndarray) -> np.ndarray:
+        """First place of each interval, whose suffixes agree in k words, with a word at k of rank key or more."""
+        low, high = low.copy(), high.copy()
         while True:
             open_ = np.flatnonzero(low < high)
             if not open_.size:
                 return low
             mid = (low[open_] + high[open_]) >> 1
-            here, key = self.columns[mid], keys[open_]
-            differs = (here != key) & used[open_]
-            k = differs.argmax(axis=1)
-            row = np.arange(len(open_))
-            found = differs[row, k]
-            less = np.where(found, here[row, k] < key[row, k], after)
+            at = self.order[mid].astype(np.int64) + k
+            start = at - k
+            word = np.where(at < row_end[start], self.ranks[np.minimum(at, len(self.ranks) - 1)], -1)
+            less = word < key[open_]
             low[open_] = np.where(less, mid + 1, low[open_])
             high[open_] = np.where(less, high[open_], mid)
 
 
-@dataclass
-class ShardMatches:
-    """For each row of a block: words, spans of words hit, items, and its longest verbatim match."""
+def _packed(x: np.ndarray) -> bytes:
+    """Numbers by bytes of like significance, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes())
 
-    n_words: np.ndarray
-    n_hit: np.ndarray
-    spans: list[list[int]]
-    items: list[list[str | None]]
-    longest: np.ndarray
-    longest_at: np.ndarray
-    longest_item: list[str | None]
 
+def _unpacked(data: pa.Scalar, dtype: str, n: int) -> np.ndarray:
+    raw = zstandard.ZstdDecompressor().decompress(data.as_buffer(), max_output_size=max(1, n * np.dtype(dtype).itemsize))
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(dtype).itemsize, n).T).view(dtype)[:, 0] if n else np.zeros(0, dtype)
 
-def match_block(buf: np.ndarray, offs: np.ndarray, tests: TestSet, window: int = WINDOW) -> ShardMatches:
-    words = words_of(buf, offs, ALNUM_WORDS)
-    rows = len(offs) - 1
-    out = ShardMatches(words.counts, np.zeros(rows, np.int64), [[] for _ in range(rows)], [[] for _ in range(rows)], np.zeros(rows, np.int64), np.full(rows, -1, np.int64), [None] * rows)
-    if tests.empty or not len(words.row):
-        return out
-    array = SuffixArray(words, tests, window)
-    low, high = array.search(tests.keys, tests.lens)
-    found = np.flatnonzero(high > low)
-    if not found.size:
-        return out
-    sizes = (high - low)[found]
-    window_of = np.repeat(found, sizes)
-    position = array.at[np.repeat(low[found] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())]
-    edge = np.zeros(len(words.row) + 1, np.int64)
+
+INDEX_COLUMNS = ["first", "vocabulary", "ranks", "suffixes"]
+
+
+def build(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> DataFrame:
+    """The stored shards of docs: ids, first word of each row and the end, vocabulary, ranks, suffixes. One narrow pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for i, j, buf, offs in blocks(batch.column(1), SHARD_BYTES):
+                s = Shard.of(buf, offs, depth)
+                ids = pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), batch.column(0).slice(i, j - i))
+                blobs = [pa.array([x], pa.binary()) for x in (s.first.astype("<i8").tobytes(), s.vocabulary.tobytes(), _packed(s.ranks), _packed(s.order))]
+                yield pa.RecordBatch.from_arrays([pa.array([number]), ids, *blobs], ["shard", "ids", *INDEX_COLUMNS])
+                number += 1
+
+    schema = f"shard long, ids array<{docs.schema[id_col].dataType.simpleString()}>, first binary, vocabulary binary, ranks binary, suffixes binary"
+    return scratch.keep(over_arrow(docs.select(id_col, text_col), run, schema), "shards")
+
+
+def _shard(batch: pa.RecordBatch, r: int) -> Shard:
+    first, vocabulary = (np.frombuffer(batch.column(c)[r].as_buffer(), t) for c, t in (("first", "<i8"), ("vocabulary", U64)))
+    n = int(first[-1])
+    return Shard(first, vocabulary, _unpacked(batch.column("ranks")[r], "<i4", n), _unpacked(batch.column("suffixes")[r], "<i4", n))
+
+
+def hits_of(shard: Shard, tests: TestSet) -> list[dict]:
+    """Of each row with a match: place, words hit (begin, end, ...), items, longest match, where it begins and its item."""
+    window, position = shard.find(tests)
+    if not len(window):
+        return []
+    edge = np.zeros(len(shard.ranks) + 1, np.int64)
     np.add.at(edge, position, 1)
-    np.add.at(edge, position + tests.lens[window_of], -1)
+    np.add.at(edge, position + tests.size[window], -1)
     covered = np.cumsum(edge[:-1]) > 0
-    out.n_hit = row_sum(covered, words.first)
-    for r in np.flatnonzero(out.n_hit):
-        a, b = words.first[r], words.first[r + 1]
-        step = np.flatnonzero(np.diff(np.concatenate([[0], covered[a:b].astype(np.int8), [0]])))
-        out.spans[r] = step.tolist()
-    by_window = np.argsort(tests.use_window, kind="stable")
-    first_use = np.searchsorted(tests.use_window[by_window], np.arange(len(tests.lens) + 1))
-    uses = first_use[window_of + 1] - first_use[window_of]
-    base = np.cumsum(uses) - uses
-    use = by_window[np.repeat(first_use[window_of] - base, uses) + np.arange(uses.sum())]
-    at, item = np.repeat(position, uses), tests.use_item[use]
-    row, diagonal, size = words.row[at], at - tests.use_at[use], tests.lens[np.repeat(window_of, uses)]
-    order = np.lexsort((at, diagonal, item, row))
-    row, item, diagonal, at, size = row[order], item[order], diagonal[order], at[order], size[order]
-    fresh = np.ones(len(row), bool)
-    fresh[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (diagonal[1:] != diagonal[:-1]) | (at[1:] != at[:-1] + 1)
-    run = np.flatnonzero(fresh)
+    row = np.searchsorted(shard.first, position, "right") - 1
+    item, diagonal = tests.item[window], position - tests.place[window]
+    order = np.lexsort((position, diagonal, item, row))
+    row, item, diagonal, at, size = row[order], item[order], diagonal[order], position[order], tests.size[window][order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (diagonal[1:] != diagonal[:-1]) | (at[1:] != at[:-1] + 1)
+    run = np.flatnonzero(new)
     length = size[run] + np.diff(np.concatenate([run, [len(row)]])) - 1
-    new_item = np.ones(len(run), bool)
-    new_item[1:] = (row[run][1:] != row[run][:-1]) | (item[run][1:] != item[run][:-1])
-    for k in np.flatnonzero(new_item):
-        out.items[row[run[k]]].append(tests.items[item[run[k]]])
-    best = np.lexsort((at[run], -length, row[run]))
-    lead = np.ones(len(best), bool)
-    lead[1:] = row[run][best][1:] != row[run][best][:-1]
-    for k in best[lead]:
-        r = row[run[k]]
-        out.longest[r], out.longest_at[r], out.longest_item[r] = length[k], at[run[k]] - words.first[r], tests.items[item[run[k]]]
+    row, item, at = row[run], item[run], at[run]
+    out = []
+    for part in np.split(np.arange(len(run)), np.flatnonzero(np.diff(row)) + 1):
+        r = int(row[part[0]])
+        a, b = int(shard.first[r]), int(shard.first[r + 1])
+        spans = np.flatnonzero(np.diff(np.concatenate([[0], covered[a:b].astype(np.int8), [0]])))
+        best = part[np.lexsort((item[part], at[part], -length[part]))[0]]
+        out.append({"row": r, "spans": spans.tolist(), "items": [tests.items[k] for k in np.unique(item[part])], "longest": int(length[best]), "at": int(at[best]) - a, "of": tests.items[item[best]]})
     return out
 
 
@@ -220,83 +218,93 @@ def test_blocks(tests: DataFrame, item_col: str, text_col: str, block_words: int
     yield held
 
 
-SCAN_SCHEMA = "n_words long, n_hit long, items array<string>, spans array<int>, longest_match long, longest_at long, longest_item string"
+FOUND_SCHEMA = "shard long, row int, block long, spans array<int>, items array<string>, longest long, at long, of string"
 
 
-def _scan_block(docs: DataFrame, id_col: str, text_col: str, tests: TestSet, window: int, first: bool, last: bool) -> DataFrame:
-    """docs (id, text and, unless first, what earlier blocks found) with the finds of one more block; the last drops the text."""
-    held = docs.sparkSession.sparkContext.broadcast(tests)
-    types = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, " + ("" if last else f"`{text_col}` {docs.schema[text_col].dataType.simpleString()}, ")
-    names = [id_col, *([] if last else [text_col]), *[c.split()[0] for c in SCAN_SCHEMA.split(", ")]]
+def search(shards: DataFrame, tests: DataFrame, scratch: Scratch, item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS, depth: int = DEPTH) -> DataFrame:
+    """A row per row with a match: shard, row there, spans, items, longest match; what blocks of tests find is put together.
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = held.value
-        for batch in batches:
-            for i, j, buf, offs in blocks(batch.column(1), SHARD_BYTES):
-                m = match_block(buf, offs, own, window)
-                part = batch.slice(i, j - i)
-                if not first:
-                    _add_earlier(m, *[part.column(k).to_pylist() for k in range(3, 9)])
-                found = [pa.array(m.n_words), pa.array(m.n_hit), pa.array(m.items, pa.list_(pa.string())), pa.array(m.spans, pa.list_(pa.int32())), pa.array(m.longest), pa.array(m.longest_at), pa.array(m.longest_item, pa.string())]
-                yield pa.RecordBatch.from_arrays([part.column(0), *([] if last else [part.column(1)]), *found], names)
-
-    return over_arrow(docs, scan, types + SCAN_SCHEMA)
-
-
-def _merged(spans: list[list[int]]) -> tuple[list[int], int]:
-    edges = sorted((p, 1 if k % 2 == 0 else -1) for one in spans for k, p in enumerate(one))
-    out, depth, hit = [], 0, 0
-    for p, step in sorted(edges, key=lambda e: (e[0], -e[1])):
-        if depth == 0:
-            out.append(p)
-        depth += step
-        if depth == 0:
-            hit += p - out[-1]
-            out.append(p)
-    return out, hit
-
-
-def _add_earlier(m: ShardMatches, n_hit: list, items: list, spans: list, longest: list, longest_at: list, longest_item: list) -> None:
-    """Adds what earlier blocks of tests found in the same rows; of equally long matches the first one in the text, then the earlier block's, stays."""
-    for r, hit in enumerate(n_hit):
-        if not hit:
-            continue
-        m.spans[r], m.n_hit[r] = _merged([spans[r], m.spans[r]])
-        m.items[r] = items[r] + m.items[r]
-        if (-longest[r], longest_at[r]) <= (-m.longest[r], m.longest_at[r]):
-            m.longest[r], m.longest_at[r], m.longest_item[r] = longest[r], longest_at[r], longest_item[r]
+    A narrow pass over the shards a block; only rows with a match are shuffled.
+    """
+    if window > depth:
+        raise ValueError(f"windows of {window} words in suffixes sorted by {depth}")
+    found = []
+    for number, block in enumerate(test_blocks(tests, item_col, item_text, block_words)):
+        held = shards.sparkSession.sparkContext.broadcast(test_set(block, window))
+
+        def run(batches: Iterator[pa.RecordBatch], held=held, number=number) -> Iterator[pa.RecordBatch]:
+            own = held.value
+            schema = pa.schema([("shard", pa.int64()), ("row", pa.int32()), ("block", pa.int64()), ("spans", pa.list_(pa.int32())), ("items", pa.list_(pa.string())), ("longest", pa.int64()), ("at", pa.int64()), ("of", pa.string())])
+            for batch in batches:
+                for r, name in enumerate(batch.column("shard").to_pylist()):
+                    hits = hits_of(_shard(batch, r), own)
+                    if hits:
+                        yield pa.RecordBatch.from_pylist([{"shard": name, "block": number, **h} for h in hits], schema)
+
+        found.append(scratch.keep(over_arrow(shards.select("shard", *INDEX_COLUMNS), run, FOUND_SCHEMA), "found"))
+        held.unpersist()
+    both = found[0]
+    for f in found[1:]:
+        both = both.unionByName(f)
+    best = F.min_by(F.struct("longest", "at", "of"), F.struct((-F.col("longest")).alias("l"), "at", "block"))
+    one = both.groupBy("shard", "row").agg(F.collect_list("spans").alias("spans"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("block", "items"))), lambda x: x["items"])).alias("items"), best.alias("b"))  # an entry a block of tests
+    return one.select("shard", "row", _merged("spans").alias("spans"), "items", "b.*")
+
+
+def _merged(spans: str) -> F.Column:
+    """Begins and ends of the union of lists of spans (begin, end, ...)."""
+    pairs = F.flatten(F.transform(spans, lambda s: F.transform(F.sequence(F.lit(0), (F.size(s) / 2).cast("int") - 1), lambda k: F.struct(F.get(s, 2 * k).alias("a"), F.get(s, 2 * k + 1).alias("b")))))
+    one = F.struct(F.lit(-1).alias("a"), F.lit(-1).alias("b"))
+
+    def step(acc: F.Column, x: F.Column) -> F.Column:
+        joined = F.struct(acc["last"]["a"].alias("a"), F.greatest(acc["last"]["b"], x["b"]).alias("b"))
+        meets = (x["a"] <= acc["last"]["b"]) & (acc["last"]["a"] >= 0)
+        out = F.when(meets | (acc["last"]["a"] < 0), acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["last"]["a"], acc["last"]["b"])))
+        return F.struct(F.when(meets, joined).otherwise(x).alias("last"), out.alias("out"))
+
+    whole = F.aggregate(F.array_sort(pairs), F.struct(one.alias("last"), F.array().cast("array<int>").alias("out")), step, lambda acc: F.concat(acc["out"], F.array(acc["last"]["a"], acc["last"]["b"])))
+    return F.when(F.size(spans) == 1, F.element_at(spans, 1)).otherwise(whole)
+
+
+def _hit(spans: str) -> F.Column:
+    return F.aggregate(spans, F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("sign")), lambda acc, x: F.struct((acc["n"] + acc["sign"] * x).alias("n"), (-acc["sign"]).alias("sign")), lambda acc: acc["n"])
 
 
 def scan(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """One row per row of docs: words, words hit, items met, spans hit (word begin, end, ...) and longest match.
+    """One row per row of docs: words, words hit, items met, spans hit (word begin, end, ...) and longest match."""
+    scratch = Scratch(docs.sparkSession, "suffixes")
+    depth = max(DEPTH, 1 << (window - 1).bit_length())
+    shards = build(docs, scratch, id_col, text_col, depth)
+    found = search(shards, tests, scratch, item_col, item_text, window, block_words, depth)
+    sizes = over_arrow(shards.select("shard", "ids", "first"), _sizes, f"shard long, row int, id {docs.schema[id_col].dataType.simpleString()}, n_words long")
+    out = sizes.join(found, ["shard", "row"], "left")
+    hit = F.col("spans").isNotNull()
+    return out.select(
+        F.col("id").alias(id_col), "n_words", F.when(hit, _hit("spans")).otherwise(0).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("spans", F.array().cast("array<int>")).alias("spans"),
+        F.coalesce("longest", F.lit(0).cast("long")).alias("longest_match"), F.coalesce("at", F.lit(-1).cast("long")).alias("longest_at"), F.col("of").alias("longest_item"),
+    )
 
-    One narrow pass per block of tests, without a shuffle: each pass adds to what
-    the earlier ones found in the row itself, so ids need not be unique or known.
-    """
-    out, first = docs.select(id_col, text_col), True
-    rest = test_blocks(tests, item_col, item_text, block_words)
-    block = next(rest)
-    while block is not None:
-        after = next(rest, None)
-        out = _scan_block(out, id_col, text_col, test_set(block, window), window, first, after is None)
-        block, first = after, False
-    return out
 
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(shard, row, id, n_words) of the rows of each shard."""
+    for batch in batches:
+        for r in range(len(batch)):
+            counts = np.diff(np.frombuffer(batch.column("first")[r].as_buffer(), "<i8"))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(counts), batch.column("shard")[r].as_py())), pa.array(np.arange(len(counts), dtype=np.int32)), batch.column("ids")[r].values, pa.array(counts)], ["shard", "row", "id", "n_words"])
 
-def filter_clean(docs: DataFrame, tests: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Rows of docs without any verbatim test window; all columns stay. One narrow pass per block of tests."""
-    at = docs.columns.index(text_col)
-    for block in test_blocks(tests, item_col, item_text, block_words):
-        held = docs.sparkSession.sparkContext.broadcast(test_set(block, window))
 
-        def clean(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            own = held.value
-            for batch in batches:
-                for i, j, buf, offs in blocks(batch.column(at), SHARD_BYTES):
-                    yield batch.slice(i, j - i).filter(pa.array(match_block(buf, offs, own, window).n_hit == 0))
+def filter_clean(docs: DataFrame, tests: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """Rows of docs without any verbatim test window; all columns stay.
 
-        docs = over_arrow(docs, clean, docs.schema)
-    return docs
+    Whether a row goes depends on its text alone, so rows are known by two
+    hashes and the length of their text, and equal texts share a fate.
+    """
+    keys = [F.xxhash64(text_col), F.xxhash64(F.lit(1), text_col), F.octet_length(text_col)]
+    names = ("a", "b", "n")
+    key = fresh(docs.columns, "text_key")
+    found = scan(docs.select(F.struct(*[k.alias(n) for k, n in zip(keys, names, strict=True)]).alias(key), text_col), tests, key, text_col, item_col, item_text, window, block_words)
+    gone = Scratch(docs.sparkSession, "contaminated").keep(found.where("n_hit > 0").select(f"{key}.*").distinct(), "gone")
+    return without(docs, gone, keys)
 
 
 def decontamination_report(spark: SparkSession, sf_dir: str) -> DataFrame:
