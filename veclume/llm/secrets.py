@@ -35,6 +35,8 @@ SAMPLE = 20_000
 SHORTEST, FIRST_RATIO, RATIO_STEP, LEAST_RATIO = 8, 7.0, 1.25, 12.0
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 UNIFORM = 0.5
+#: Pieces of a text that are added up together; even, as every other piece is a match.
+GROUP = 128
 MARK, INNER, PLAIN = "", "", "\u0001"
 #: Patterns of the base kinds, in the order of ties.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?)([A-Za-z0-9+/_.=-]+)"""
@@ -51,8 +53,12 @@ def _clean(text_col: str) -> Column:
 
 
 def _spans(text: Column, pattern: str, replacement: str, kind: int, inner: bool = False, accept: Callable[[Column], Column] | None = None) -> Column:
-    """Spans of the matches of a pattern that accept takes; an assignment counts if what follows the inner mark has 6 characters or more."""
-    pieces = F.split(F.regexp_replace(text, F.lit(pattern), F.lit(replacement)), MARK, -1)
+    """Spans of the matches of a pattern that accept takes; an assignment counts if what follows the inner mark has 6 characters or more.
+
+    Pieces are added up in groups of GROUP, then the groups, so that no array
+    grows piece by piece over a whole text: the work follows the text's length.
+    """
+    none = F.array().cast(f"array<{SPAN}>")
 
     def step(acc: Column, piece: Column) -> Column:
         marked = acc["i"] % 2 == 1
@@ -61,17 +67,24 @@ def _spans(text: Column, pattern: str, replacement: str, kind: int, inner: bool
         span = F.struct(acc["at"].alias("start"), F.lit(kind).alias("kind"), (acc["at"] + size).alias("end"))
         return F.struct((acc["at"] + size).alias("at"), (acc["i"] + 1).alias("i"), F.when(good, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
 
-    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), F.array().cast(f"array<{SPAN}>").alias("spans"))
-    none = F.array().cast(f"array<{SPAN}>")
-    found = F.aggregate(pieces, zero, step)["spans"]
-    return F.when(text.rlike(pattern), found).otherwise(none)
+    def found(pieces: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), none.alias("spans"))
+        groups = F.transform(F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / GROUP).cast("int")), lambda g: F.aggregate(F.slice(pieces, g * GROUP + 1, GROUP), zero, step))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
+        begins = F.aggregate(groups, start, lambda acc, g: F.struct((acc["at"] + g["at"]).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all")), lambda acc: acc["all"])
+        moved = F.zip_with(groups, begins, lambda g, at: F.transform(g["spans"], lambda x: F.struct((x["start"] + at).alias("start"), x["kind"].alias("kind"), (x["end"] + at).alias("end"))))
+        return F.flatten(moved)
+
+    # a one-element array binds the pieces, and then the groups, to a name, so that each is made once
+    pieces = F.array(F.split(F.regexp_replace(text, F.lit(pattern), F.lit(replacement)), MARK, -1))
+    return F.when(text.rlike(pattern), F.element_at(F.transform(pieces, found), 1)).otherwise(none)
 
 
 def _pairs(token: Column) -> Column:
     """Indexes of the pairs of characters of a token in the table of the model."""
     n = len(ALPHABET)
-    place = lambda k: F.instr(F.lit(ALPHABET), F.substr(token, k, F.lit(1)))
-    return F.transform(F.sequence(F.lit(1), F.length(token) - 1), lambda k: (place(k) - 1) * n + place(k + 1))
+    places = F.array(F.transform(F.split(token, ""), lambda c: F.instr(F.lit(ALPHABET), c)))
+    return F.element_at(F.transform(places, lambda at: F.transform(F.sequence(F.lit(1), F.length(token) - 1), lambda k: (F.element_at(at, k) - 1) * n + F.element_at(at, k + 1))), 1)
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> list[float]:
@@ -108,18 +121,18 @@ def least_ratio(size: Column) -> Column:
 
 
 def _with_spans(docs: DataFrame, table: list[float], text_col: str) -> DataFrame:
-    """Adds __spans: (start, kind, end) of all kinds, sorted."""
-    df = docs.withColumn("__text", _clean(text_col))
-    df = df.withColumn("__assign", _spans(F.col("__text"), ASSIGN, f"{MARK}$1{INNER}$2{MARK}", 0, True))
-    df = df.withColumn("__access", _spans(F.col("__text"), ACCESS, f"{MARK}$0{MARK}", 1))
-    df = df.withColumn("__hex", _spans(F.col("__text"), HEX, f"{MARK}$0{MARK}", 2))
-    df = df.withColumn("__base", F.array_sort(F.concat("__assign", "__access", "__hex")))
+    """(row, text, assign, access, hex, base, markov, spans) of each row of docs, held as a struct: no name can clash."""
+    df = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _clean(text_col).alias("text"))
+    df = df.withColumn("assign", _spans(F.col("text"), ASSIGN, f"{MARK}$1{INNER}$2{MARK}", 0, True))
+    df = df.withColumn("access", _spans(F.col("text"), ACCESS, f"{MARK}$0{MARK}", 1))
+    df = df.withColumn("hex", _spans(F.col("text"), HEX, f"{MARK}$0{MARK}", 2))
+    df = df.withColumn("base", F.array_sort(F.concat("assign", "access", "hex")))
     ratios = F.from_json(F.lit("[" + ",".join(map(str, table)) + "]"), "array<double>")
     score = lambda token: F.aggregate(_pairs(token), F.lit(0.0), lambda acc, k: acc + F.element_at(ratios, k))
-    df = df.withColumn("__random", _spans(F.col("__text"), WORDS, f"{MARK}$0{MARK}", 3, accept=lambda token: score(token) >= least_ratio(F.length(token))))
-    held = lambda span: F.exists(F.col("__base"), lambda b: (b["start"] <= span["start"]) & (b["end"] >= span["end"]))
-    df = df.withColumn("__markov", F.filter("__random", lambda span: ~held(span)))
-    return df.withColumn("__spans", F.array_sort(F.concat("__base", "__markov")))
+    df = df.withColumn("random", _spans(F.col("text"), WORDS, f"{MARK}$0{MARK}", 3, accept=lambda token: score(token) >= least_ratio(F.length(token))))
+    held = lambda span: F.exists(F.col("base"), lambda b: (b["start"] <= span["start"]) & (b["end"] >= span["end"]))
+    df = df.withColumn("markov", F.filter("random", lambda span: ~held(span)))
+    return df.withColumn("spans", F.array_sort(F.concat("base", "markov")))
 
 
 def _joined(spans: str) -> Column:
@@ -131,24 +144,39 @@ def scan(docs: DataFrame, table: list[float], id_col: str = "doc_id", text_col:
     """(id, n_assign, n_access, n_hex, n_markov, base, spans): spans as kind:start:end, comma-joined."""
     df = _with_spans(docs.select(id_col, text_col), table, text_col)
     count = lambda c: F.size(c).cast("long")
-    return df.select(id_col, count("__assign").alias("n_assign"), count("__access").alias("n_access"), count("__hex").alias("n_hex"), count("__markov").alias("n_markov"), _joined("__base").alias("base"), _joined("__spans").alias("spans"))
+    return df.select(F.col("row")[id_col].alias(id_col), count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"), count("markov").alias("n_markov"), _joined("base").alias("base"), _joined("spans").alias("spans"))
 
 
 def redact(docs: DataFrame, table: list[float], text_col: str = "text") -> DataFrame:
     """All rows and columns of docs, every span replaced by ``[secret]`` (overlapping ones once); texts without a span stay as they are."""
     df = _with_spans(docs, table, text_col)
-    text = F.col(text_col)
-
-    def step(acc: Column, s: Column) -> Column:
-        before = F.substr(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        put = F.when(s["start"] >= acc["at"], F.concat(acc["out"], before, F.lit(REPLACEMENT))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), put.alias("out"))
-
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    done = F.aggregate(F.col("__spans"), zero, step)
-    rest = F.substr(text, done["at"] + 1, F.length(text))
-    new = F.when(F.size("__spans") > 0, F.concat(done["out"], rest)).otherwise(text)
-    return df.withColumn(text_col, new).select(docs.columns)
+    text = F.col("row")[text_col]
+    far = F.lit(2**31 - 1)
+
+    def put(spans: Column) -> Column:
+        """The text between spans, in groups of GROUP spans, each cut from the part of the text that it covers."""
+        groups = F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / GROUP).cast("int"))
+        of = lambda g: F.slice(spans, g * GROUP + 1, GROUP)
+        most = F.transform(groups, lambda g: F.array_max(F.transform(of(g), lambda s: s["end"])))
+        ends = F.aggregate(most, F.array(F.lit(0)), lambda acc, m: F.concat(acc, F.array(F.greatest(F.element_at(acc, -1), m))))
+
+        def kept(g: Column, ends: Column) -> Column:
+            begin = F.element_at(ends, g + 1)
+            zero = F.struct(begin.alias("end"), F.array().cast("array<struct<a:int,b:int>>").alias("gaps"))
+            gaps = F.aggregate(of(g), zero, step, lambda acc: acc["gaps"])
+            part = F.array(F.substr(text, begin + 1, F.element_at(ends, g + 2) - begin))
+            return F.element_at(F.transform(part, lambda own: F.transform(gaps, lambda x: F.substr(own, x["a"] - begin + 1, x["b"] - x["a"]))), 1)
+
+        def step(acc: Column, s: Column) -> Column:
+            apart = F.array(F.struct(acc["end"].alias("a"), s["start"].alias("b")))
+            return F.struct(F.greatest(acc["end"], s["end"]).alias("end"), F.when(s["start"] >= acc["end"], F.concat(acc["gaps"], apart)).otherwise(acc["gaps"]).alias("gaps"))
+
+        last = lambda ends: F.array(F.substr(text, F.element_at(ends, -1) + 1, far))
+        joined = lambda ends: F.array_join(F.concat(F.flatten(F.transform(groups, lambda g: kept(g, ends))), last(ends)), REPLACEMENT)
+        return F.element_at(F.transform(F.array(ends), joined), 1)
+
+    new = F.when(F.size("spans") > 0, put(F.col("spans"))).otherwise(text)
+    return df.select(*[(new if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def secret_report(spark: SparkSession, sf_dir: str) -> DataFrame:
