@@ -96,7 +96,13 @@ class Boosted:
 
 @dataclass
 class Isotonic:
-    """A non-decreasing map of raw scores to probabilities by pooling adjacent violators."""
+    """An increasing map of raw scores (log-odds) to probabilities by pooling adjacent violators.
+
+    Between the centres of pools it is linear; below the first and above the
+    last one it follows the logistic curve from the pool's value to 0 and 1, so
+    that scores keep their order there. The outer pools' values stay off 0 and 1
+    by what one more row would change.
+    """
 
     at: np.ndarray
     value: np.ndarray
@@ -112,7 +118,13 @@ class Isotonic:
                 pools[-1] = [x + z for x, z in zip(pools[-1], a, strict=True)]
         if not pools:
             return cls(np.zeros(1), np.full(1, 0.5))
-        return cls(np.array([p[2] / p[1] for p in pools]), np.array([p[0] / p[1] for p in pools]))
+        value = np.array([p[0] / p[1] for p in pools])
+        share = float(np.clip(y.mean(), 0.001, 0.999))
+        value = np.clip(value, share / (pools[0][1] + 1), 1 - (1 - share) / (pools[-1][1] + 1))
+        return cls(np.array([p[2] / p[1] for p in pools]), value)
 
     def __call__(self, raw: np.ndarray) -> np.ndarray:
-        return np.interp(raw, self.at, self.value)
+        chance = lambda x: 1 / (1 + np.exp(-np.clip(x, -500, 500)))
+        out = np.interp(raw, self.at, self.value)
+        out = np.where(raw < self.at[0], self.value[0] * chance(raw) / chance(self.at[0]), out)
+        return np.where(raw > self.at[-1], 1 - (1 - self.value[-1]) * chance(-raw) / chance(-self.at[-1]), out)
