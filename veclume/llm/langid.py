@@ -13,7 +13,8 @@ N-grams are ``GRAM`` bytes of the lower-cased (A-Z) text in UTF-8 with runs of
 other ASCII than letters as one blank. A language's filter takes the n-grams
 that occur in ``LEAST_DOCS`` or more of its training documents and whose share
 of its documents is at least ``RIVAL`` of the greatest share in any language,
-so that what other languages only quote is left out. Training takes documents
+so that what other languages only quote is left out; all of these enter, and
+the filters' size follows their number. Training takes documents
 with a language, at most about ``SAMPLE`` a language, chosen by a hash of the
 id; everything else covers all rows and whole texts.
 
@@ -23,28 +24,27 @@ to learn, all are `und`. Rows keep their multiplicity; other columns are ignored
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from veclume.llm.arrow import over_arrow
+from veclume.llm.scratch import Scratch
 from veclume.llm.textnum import LOWER, U64, blocks, mix, row_sum
 
 GRAM = 4
 HASHES = 2
-BITS = 20
+#: Cells of a filter are 2 to the power of so many: four a n-gram of the language with most, within these limits.
+LEAST_BITS, MOST_BITS = 16, 22
 #: Training documents of a language, about (a bound on what is fitted, not on what is judged).
 SAMPLE = 1500
 LEAST_DOCS = 3
 RIVAL = 0.3
-#: N-grams kept of a language, the most frequent.
-GRAMS_KEPT = 60_000
 #: Languages of a table.
 PLANE = 64
 
@@ -52,7 +52,7 @@ _FOLD = LOWER.copy()
 _FOLD[[b for b in range(128) if not (97 <= b <= 122 or 65 <= b <= 90)]] = 0x20
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = True
-_UNICODE_LETTER = re.compile(r"[^\W\d_]")
+_UNICODE_LETTER = regex.compile(r"\p{L}")
 
 
 def gram_keys(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -78,29 +78,29 @@ def gram_keys(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[whole].astype(U64), np.searchsorted(row, np.arange(n + 1))
 
 
-def cells(keys: np.ndarray) -> list[np.ndarray]:
+def cells(keys: np.ndarray, bits: int) -> list[np.ndarray]:
     h = mix(keys * U64(0x9E3779B97F4A7C15) + U64(0x632BE59BD9B4E019))
-    mask = U64((1 << BITS) - 1)
-    return [((h >> U64(BITS * k)) & mask).astype(np.int64) for k in range(HASHES)]
+    mask = U64((1 << bits) - 1)
+    return [((h >> U64(bits * k)) & mask).astype(np.int64) for k in range(HASHES)]
 
 
 @dataclass
 class Filters:
-    """The languages, in order, and the table of their bits; with more than PLANE languages one table after another."""
+    """The languages, in order, and a table of their bits for each PLANE of them."""
 
     languages: list[str]
-    table: np.ndarray
+    planes: np.ndarray
 
     def __post_init__(self) -> None:
-        self.planes = self.table.reshape(-1, 1 << BITS)
-        one = self.table.dtype.type
+        self.bits = self.planes.shape[1].bit_length() - 1
+        one = self.planes.dtype.type
         fill = [float(((self.planes[k // PLANE] >> one(k % PLANE)) & one(1)).mean()) for k in range(len(self.languages))]
         self.false_rate = np.array(fill) ** HASHES
 
     def masks(self, keys: np.ndarray, plane: int = 0) -> np.ndarray:
         """Bit sets of the languages of a plane that hold each n-gram."""
         table = self.planes[plane]
-        a, *rest = cells(keys)
+        a, *rest = cells(keys, self.bits)
         out = table[a]
         for b in rest:
             out &= table[b]
@@ -112,7 +112,7 @@ class Filters:
         if not self.languages:
             return np.full(n, -1), np.zeros(n)
         keys, first = gram_keys(buf, offs)
-        one, sums = self.table.dtype.type, []
+        one, sums = self.planes.dtype.type, []
         for plane in range(len(self.planes)):
             masks = self.masks(keys, plane)
             sums += [row_sum((masks >> one(k)) & one(1), first) for k in range(min(PLANE, len(self.languages) - plane * PLANE))]
@@ -153,32 +153,38 @@ def _gram_counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Filters:
-    """Filters of the languages in docs; the driver gets at most GRAMS_KEPT n-grams a language."""
+    """Filters of the languages in docs; the driver gets the cells that are set, at most 2^MOST_BITS a plane."""
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     sizes = {r[0]: r[1] for r in known.groupBy(lang_col).agg(F.count("*")).collect()}
     if not sizes:
-        return Filters([], np.zeros(1 << BITS, np.uint8))
+        return Filters([], np.zeros((1, 1 << LEAST_BITS), np.uint8))
     whole = 1 << 40
     part = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, int(whole * min(1.0, sample / n)))])
     chosen = F.pmod(F.xxhash64(F.col(id_col), F.lit(7)), F.lit(whole)) < F.element_at(part, F.col(lang_col))
     picked = known.where(chosen)
     held = {r[0]: r[1] for r in picked.groupBy(lang_col).agg(F.count("*")).collect()}
     languages = sorted(held)
-    counts = _gram_counts(picked, text_col, lang_col).join(F.broadcast(docs.sparkSession.createDataFrame([(k, float(v)) for k, v in held.items()], "lang string, docs double")), "lang")
-    share = counts.withColumn("share", F.col("n") / F.col("docs"))
     least = {k: min(LEAST_DOCS, max(1, v // 3)) for k, v in held.items()}
-    top = share.groupBy("gram").agg(F.max("share").alias("most"), F.collect_list(F.struct("lang", "share", "n")).alias("own"))
-    kept = top.select("gram", "most", F.explode("own").alias("x")).select("gram", "most", "x.*").where(F.col("share") >= RIVAL * F.col("most"))
-    ranked = kept.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("place") <= GRAMS_KEPT)
-    rows = ranked.select("lang", "gram", "n").toArrow()
+    known = docs.sparkSession.createDataFrame([(k, i, float(held[k]), least[k]) for i, k in enumerate(languages)], "lang string, number int, docs double, least int")
+    counts = _gram_counts(picked, text_col, lang_col).join(F.broadcast(known), "lang")  # a row a language
+    share = counts.select("gram", "number", "n", "least", (F.col("n") / F.col("docs")).alias("share"))
+    top = share.groupBy("gram").agg(F.max("share").alias("most"), F.collect_list(F.struct("number", "share", "n", "least")).alias("own"))  # an entry a language
+    kept = Scratch(docs.sparkSession, "language").keep(top.select("gram", "most", F.explode("own").alias("x")).select("gram", "most", "x.*").where((F.col("share") >= RIVAL * F.col("most")) & (F.col("n") >= F.col("least"))).select("number", "gram"), "grams")
+    most = kept.groupBy("number").count().agg(F.max("count")).first()[0] or 0
+    bits = min(max((4 * most).bit_length(), LEAST_BITS), MOST_BITS)
     kind = np.uint8 if len(languages) <= 8 else np.uint16 if len(languages) <= 16 else np.uint64
-    table = np.zeros((max(1, -(-len(languages) // PLANE)), 1 << BITS), kind)
-    lang, gram, n = rows.column("lang").to_numpy(zero_copy_only=False), rows.column("gram").to_numpy(), rows.column("n").to_numpy()
-    for k, name in enumerate(languages):
-        own = gram[(lang == name) & (n >= least[name])].astype(U64)
-        for c in cells(own):
-            table[k // PLANE, c] |= kind(1 << k % PLANE)
-    return Filters(languages, table)
+    planes = np.zeros((max(1, -(-len(languages) // PLANE)), 1 << bits), kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            number, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(U64)
+            mask = (U64(1) << (number % PLANE).astype(U64)).view(np.int64)
+            for c in cells(keys, bits):
+                yield pa.RecordBatch.from_arrays([pa.array((number // PLANE).astype(np.int32)), pa.array(c), pa.array(mask)], ["plane", "cell", "mask"])
+
+    found = over_arrow(kept, run, "plane int, cell long, mask long").groupBy("plane", "cell").agg(F.expr("bit_or(mask)").alias("mask")).toArrow()
+    planes[found.column("plane").to_numpy(), found.column("cell").to_numpy()] = found.column("mask").to_numpy().view(U64).astype(kind)
+    return Filters(languages, planes)
 
 
 def predict(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
