@@ -1,15 +1,19 @@
 """URL filters: pattern rules indexed by their rarest literal token.
 
-A pattern rule is a regular expression over the whole lower-cased url with
-literal tokens (runs of letters and digits) that any match holds as tokens of
-its own. Rules are indexed by the one of these that is rarest in the urls, as
-counted over all of them; a url's tokens fetch candidate rules and only those
-run. Rules without a literal token run on every url; they are counted apart.
+A pattern rule is a regular expression over the whole lower-cased url. From its
+parsed form come the tokens (runs of letters and digits) that any match holds
+as whole tokens of the url, for each of its alternatives: literals with other
+characters, or a boundary, on both sides. A rule is indexed by the rarest such
+token of each alternative, as counted over all urls; a url's tokens fetch the
+candidate rules, and only those run. A rule with an alternative without such a
+token is refused. Rules are a stated set: ``read_rules`` takes them from a text
+file (by default the one beside this module).
 
 Scope rules come first: (host, path) with allow or block fits the host and all
 its subdomains if the url's path starts with the rule's; the longest wins
 (length of host, then of path; ties: block). Other urls get the verdict of the
-pattern rules: block if one matches, else allow.
+pattern rules: block if one matches (the first by name is given), else block if
+the host is a number (four parts of digits), else allow.
 
 Null urls, and urls without `://`, have empty host and path. Rows keep their
 multiplicity; extra columns are ignored by ``judge``.
@@ -20,6 +24,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property, lru_cache
+from itertools import product
+from pathlib import Path
+from re import _constants as K
+from re import _parser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,32 +37,89 @@ from pyspark.sql import functions as F
 from veclume.llm.arrow import over_arrow
 
 TOKEN = re.compile(r"[a-z0-9]+")
+#: Alternatives of a rule at most.
+MOST_ALTERNATIVES = 256
+RULES = Path(__file__).with_name("url_rules.txt")
+#: Parts of an alternative besides single characters: one character or more that no token holds, or a boundary; anything.
+_APART, _ANY = object(), object()
+
+
+def _one(op, value) -> list[list]:
+    """The alternatives of a parsed element, each a list of parts."""
+    if op is K.LITERAL:
+        return [[chr(value) if TOKEN.fullmatch(chr(value)) else _APART]]
+    if op is K.IN:
+        plain = all(k is K.LITERAL and not chr(v).isalnum() for k, v in value)
+        return [[_APART if plain else _ANY]]
+    if op is K.AT:
+        return [[_ANY if value is K.AT_NON_BOUNDARY else _APART]]
+    if op is K.SUBPATTERN:
+        return _alternatives(value[-1])
+    if op is K.BRANCH:
+        return [x for branch in value[1] for x in _alternatives(branch)]
+    if op in (K.MAX_REPEAT, K.MIN_REPEAT):
+        least, most, inner = value
+        once = _alternatives(inner)
+        if (least, most) == (0, 1):
+            return [[], *once]
+        if least == 1 and most == 1:
+            return once
+        return [[_APART]] if least and once == [[_APART]] else [[_ANY]]
+    return [[_ANY]]
+
+
+def _alternatives(parsed) -> list[list]:
+    out: list[list] = [[]]
+    for op, value in parsed:
+        own = _one(op, value)
+        if len(out) * len(own) > MOST_ALTERNATIVES:
+            raise ValueError(f"more than {MOST_ALTERNATIVES} alternatives")
+        out = [a + b for a, b in product(out, own)]
+    return out
+
+
+def literal_tokens(pattern: str) -> list[set[str]]:
+    """For each alternative of a pattern the tokens that a match of it holds whole."""
+    out = []
+    for parts in _alternatives(_parser.parse(pattern, re.ASCII)):
+        tokens, run, apart = set(), "", False  # apart: what is before the run ends tokens
+        for part in [*parts, _ANY]:
+            if isinstance(part, str):
+                run += part
+                continue
+            if run and apart and part is _APART:
+                tokens.add(run)
+            run, apart = "", part is _APART
+        out.append(tokens)
+    return out
 
 
 @dataclass(frozen=True)
 class PatternRule:
-    """pattern: searched in the lower-cased url; tokens: literal tokens of every match."""
+    """pattern: searched in the lower-cased url."""
 
     name: str
     pattern: str
-    tokens: tuple[str, ...] = ()
 
+    @cached_property
+    def tokens(self) -> list[set[str]]:
+        found = literal_tokens(self.pattern)
+        if not all(found):
+            raise ValueError(f"rule {self.name}: an alternative of {self.pattern} has no literal token of its own")
+        return found
 
+
+def read_rules(path: str | Path = RULES) -> tuple[PatternRule, ...]:
+    """Rules of a text file, a name and a pattern a line; lines that begin with # are left out."""
+    lines = [x for x in Path(path).read_text("utf-8").split("\n") if x.strip() and not x.startswith("#")]
+    return tuple(PatternRule(*x.split(" ", 1)) for x in lines)
+
+
+#: What the verdict on hosts that are numbers goes by.
+NUMBER_RULE = "numeric-host"
 #: Scope rules of the query: action, host, path.
 SCOPES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 
-#: Pattern rules of the query.
-PATTERNS = (
-    PatternRule("pills", r"\bcheap-pills\b", ("cheap", "pills")),
-    PatternRule("spam-host", r"://([^/]*\.)?spam-farm\.", ("spam", "farm")),
-    PatternRule("casino", r"\b(online-)?casino\b", ("casino",)),
-    PatternRule("adult", r"\bxxx\b", ("xxx",)),
-    PatternRule("free-download", r"\bfree-download\b", ("free", "download")),
-    PatternRule("torrent", r"\btorrent\b", ("torrent",)),
-    PatternRule("tracker", r"[?&]utm_source=spam\b", ("utm", "source", "spam")),
-    PatternRule("numeric-host", r"://\d+\.\d+\.\d+\.\d+(:\d+)?(/|$)"),
-)
-
 
 def split_url(url: str | None) -> tuple[str, str]:
     """Host (A-Z lower-cased) and path."""
@@ -64,6 +130,11 @@ def split_url(url: str | None) -> tuple[str, str]:
     return re.sub("[A-Z]+", lambda x: x[0].lower(), m[1]), m[2]
 
 
+def is_number(host: str) -> bool:
+    parts = host.partition(":")[0].split(".")
+    return len(parts) == 4 and all(p.isascii() and p.isdigit() for p in parts)
+
+
 class ScopeRules:
     """Longest scope rule of a host and path, by lookups of the host's suffixes."""
 
@@ -84,31 +155,28 @@ class ScopeRules:
         return None, None
 
 
+@lru_cache(4096)
+def _compiled(pattern: str) -> re.Pattern:
+    return re.compile(pattern, re.ASCII)
+
+
 class PatternIndex:
-    """Rules by their rarest literal token."""
+    """Rules by the rarest literal token of each of their alternatives."""
 
     def __init__(self, rules: tuple[PatternRule, ...], counts: dict[str, int]) -> None:
-        self.by_token: dict[str, list[tuple[str, re.Pattern]]] = {}
-        self.always: list[tuple[str, re.Pattern]] = []
+        self.by_token: dict[str, list[tuple[str, str]]] = {}
         for r in rules:
-            compiled = (r.name, re.compile(r.pattern, re.ASCII))
-            if r.tokens:
-                self.by_token.setdefault(min(r.tokens, key=lambda t: (counts.get(t, 0), t)), []).append(compiled)
-            else:
-                self.always.append(compiled)
+            for token in sorted({min(own, key=lambda t: (counts.get(t, 0), t)) for own in r.tokens}):
+                self.by_token.setdefault(token, []).append((r.name, r.pattern))
 
     def match(self, url: str | None) -> tuple[str | None, int]:
         """(name of the first rule that matches, by name; number of regular expressions run)."""
         text = (url or "").lower()
-        candidates = list(self.always)
-        for t in set(TOKEN.findall(text)):
-            candidates += self.by_token.get(t, ())
-        ran = 0
-        for name, pattern in sorted(candidates, key=lambda c: c[0]):
-            ran += 1
-            if pattern.search(text):
+        candidates = {c for t in set(TOKEN.findall(text)) for c in self.by_token.get(t, ())}
+        for ran, (name, pattern) in enumerate(sorted(candidates), 1):
+            if _compiled(pattern).search(text):
                 return name, ran
-        return None, ran
+        return None, len(candidates)
 
 
 def token_counts(pages: DataFrame, tokens: set[str], url_col: str = "url") -> dict[str, int]:
@@ -117,20 +185,24 @@ def token_counts(pages: DataFrame, tokens: set[str], url_col: str = "url") -> di
     return {r.t: r["count"] for r in pages.where(F.col(url_col).isNotNull()).select(parts.alias("t")).groupBy("t").count().collect()}
 
 
-def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", scopes: tuple = SCOPES, patterns: tuple[PatternRule, ...] = PATTERNS) -> DataFrame:
+def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", scopes: tuple = SCOPES, patterns: tuple[PatternRule, ...] | None = None) -> DataFrame:
     """(id, host, path, rule, verdict, pattern, regexes_run) of each url."""
-    wanted = {t for p in patterns for t in p.tokens}
+    patterns = read_rules() if patterns is None else patterns
+    wanted = {t for p in patterns for own in p.tokens for t in own}
     counts = token_counts(pages, wanted, url_col) if wanted else {}
     id_type = pages.schema[id_col].dataType.simpleString()
+    index = PatternIndex(patterns, counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scope, index = ScopeRules(scopes), PatternIndex(patterns, counts)
+        scope = ScopeRules(scopes)
         for batch in batches:
             host, path, rule, verdict, pattern, ran = [], [], [], [], [], []
             for url in batch.column(1).to_pylist():
                 h, p = split_url(url)
                 r, v = scope.find(h, p)
                 name, n = index.match(url) if r is None else (None, 0)
+                if r is None and name is None and is_number(h):
+                    name = NUMBER_RULE
                 host.append(h)
                 path.append(p)
                 rule.append(r)
@@ -156,7 +228,8 @@ def url_sql() -> str:
     longest = sorted(SCOPES, key=lambda r: (-len(r[1]), -len(r[2]), r[0] != "block"))
     rule = " ".join(f"WHEN {fits(h, p)} THEN '{h}{p}'" for _, h, p in longest)
     action = " ".join(f"WHEN '{h}{p}' THEN '{a}'" for a, h, p in longest)
-    pattern = " ".join(f"WHEN regexp_matches(lower(url), '{r.pattern}') THEN '{r.name}'" for r in sorted(PATTERNS, key=lambda r: r.name))
+    pattern = " ".join(f"WHEN regexp_matches(lower(url), '{r.pattern}') THEN '{r.name}'" for r in sorted(read_rules(), key=lambda r: r.name))
+    pattern += rf" WHEN regexp_matches(host, '^[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+(:.*)?$') THEN '{NUMBER_RULE}'"
     upper, low = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     parts = f"SELECT page_id, url, translate(coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 1), ''), '{upper}', '{low}') AS host, coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages"
     ruled = f"SELECT *, CASE {rule} END AS rule FROM ({parts})"
