@@ -14,7 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_decontamination": suffix.decontamination_report,
         "op2_toxicity": toxicity.toxicity_report,
         "op3_jaccard_join": jaccard.component_report,
-        "op3_jaccard_links": jaccard.link_report,
+        "jaccard_links": jaccard.link_report,
         "op4_token_files": simple8b.token_file_report,
         "op5_language_id": langid.language_report,
         "op6_url_filters": urlrules.url_report,
