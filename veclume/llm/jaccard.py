@@ -13,39 +13,49 @@ which links with nothing. Two documents link when 100 |A and B| >= 80 |A or B|.
    by the 2-subsets of that prefix with l = 2; heavy sets, and light ones that
    could meet a heavy one, enter the inverted lists of the prefix with l = 1.
    The boundary is the one with the least total of subset rows, list rows and
-   expected list scanning, as measured in the first pass.
+   expected list scanning, as measured in the first pass. Sets so small that a
+   link may rest on one shingle enter the lists too; sets that no other set can
+   link with (of less than 4 at 80 %) enter none.
 4. Keys travel as packed blobs by key range; the receiver keeps keys of two or
    more documents. In each such key first one, then another member (a hub) is
    compared with the rest, which is linear, and components are formed; at last
    all pairs of a key whose components still differ are compared. No link
    between different components is lost, and members of a large group of copies
-   are not paired with each other.
+   are not paired with each other. Rows of the heaviest classes and keys meet
+   their class or hub by a broadcast of at most ``HOT_KEYS`` rows, and a long
+   list is dealt out in blocks, so that no key is the work of one task.
 5. Pairs first meet a bound: each set has a table of bits, the parity of its
    hashes by cell, about as many cells as elements; tables differ in no more
    bits than the sets in elements, so pairs that differ in too many cannot link
    (a table folds to a shorter one by XOR of its halves). What passes is
-   verified on the sets themselves (48 bits of each hash), which are made anew
-   from the texts of these documents only.
+   verified on the sets themselves (64-bit hashes), which are made anew from
+   the texts of these documents only. Equal sets are known by their size and
+   two 64-bit sums of their hashes.
 
 Frequency only orders the shingles, so the bound on how many frequent shingles
 are known (``HOT_KEPT``) bears on cost, not on results. Nulls: null text is
-empty text; a null id makes its own component (null). Repeated ids act as one
-node. Extra columns are ignored by ``components`` and kept by ``keep_one``.
+empty text; a null id makes its own component (null). Rows of one id are one
+document with the links of all its texts. Ids are integers; others raise. Extra
+columns, whatever their names, are ignored by ``components`` and kept by
+``keep_one``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 from math import ceil
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veclume.llm.arrow import by_groups, over_arrow
 from veclume.llm.graph import connected_components
+from veclume.llm.rows import bit_table, in_table, without
 from veclume.llm.scratch import Scratch
 from veclume.llm.textnum import SPACED_WORDS, U64, blocks, mix, row_sets, words_of
 
@@ -63,11 +73,13 @@ RANGE_KEYS = 2_000_000
 #: Words of 64 cells of the shortest parity table, and of the fold that the join itself tests.
 PARITY_WORDS = 16
 FOLD_WORDS = 8
-#: Bits of the table of documents that take part in some pair.
-INVOLVED_BITS = 23
+#: Keys at most that are broadcast since they hold a greater share of all rows than one by this number.
+HOT_KEYS = 4096
+#: Members of a key that are compared with each other in one task; more are dealt out in blocks of so many.
+BLOCK_MEMBERS = 512
 #: Cost of a candidate in a list against that of a row written.
 SCAN_COST = 0.5
-MAX_LIGHT = 64
+MAX_LIGHT = 256
 
 
 def overlap_least(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -185,7 +197,12 @@ def _profile(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataF
     return over_arrow(docs.select(id_col, text_col), run, "kind byte, a long, b long, c long, d long, bits array<long>, fold array<long>")
 
 
-def choose_boundary(costs: dict[int, tuple[float, float, float]]) -> int:
+def can_link(n: int, percent: int) -> bool:
+    """Whether a set of n can link with another set at all: with itself and one element more at best."""
+    return 100 * n >= percent * (n + 1)
+
+
+def choose_boundary(costs: dict[int, tuple[float, float, float]], percent: int = PERCENT) -> int:
     """Largest size of a light set: least total cost. costs: by size (subset rows, list rows, scanned)."""
     best, at = None, 0
     for x in range(3, MAX_LIGHT + 1):
@@ -193,7 +210,7 @@ def choose_boundary(costs: dict[int, tuple[float, float, float]]) -> int:
         for n, (light, listed, scan) in costs.items():
             if n <= x:
                 total += light
-            if n > x or n * 100 >= PERCENT * x:
+            if n > x or n * 100 >= percent * x:
                 total += listed + SCAN_COST * scan
         if best is None or total < best:
             best, at = total, x
@@ -233,18 +250,19 @@ def _keys(docs: DataFrame, id_col: str, text_col: str, order, boundary: int, ran
                 use = []
                 for r in known.tolist():
                     s = sets[r]
-                    if len(s) > 3:  # smaller ones link with equal sets only
+                    if can_link(len(s), percent):  # others link with equal sets only
                         mark = (len(s), int(s.sum(dtype=U64)), int(np.bitwise_xor.reduce(mix(s))))
                         if mark not in seen:
                             seen.add(mark)
                             use.append(r)
                 for r, prefix in zip(use, own.prefixes([sets[r] for r in use], percent), strict=True):
                     size = len(sets[r])
+                    least = int(overlap_least(np.int64(size), percent))
                     mine = []
                     if size <= boundary:
                         mine.append(subsets_of_two(prefix))
-                    if size * 100 >= reach:
-                        mine.append(prefix[: size - int(overlap_least(np.int64(size), percent)) + 1])
+                    if size * 100 >= reach or least < 2:  # sets that may share but one shingle have no subset in common
+                        mine.append(prefix[: size - least + 1])
                     for m in mine:
                         keys.append(m)
                         ids.append(np.full(len(m), doc[r], np.int64))
@@ -288,43 +306,40 @@ def _shared(packed: DataFrame) -> DataFrame:
     return by_groups(packed, "part", run, "key long, doc long")
 
 
-def _involved_table(ids: DataFrame) -> np.ndarray:
-    """A bit table of fixed size over hashed ids; it only spares work, exact joins follow."""
-    slot = F.pmod(F.xxhash64("doc"), F.lit(1 << INVOLVED_BITS))
-    words = ids.select(slot.alias("s")).groupBy((F.col("s") / 64).cast("long").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(pmod(s, 64) as int)))").alias("m"))
-    packed = words.groupBy((F.col("w") / 1024).cast("long").alias("g")).agg(F.sort_array(F.collect_list(F.struct("w", "m"))).alias("x"))
-    table = np.zeros(1 << (INVOLVED_BITS - 6), np.int64)
-    for row in packed.toLocalIterator():
-        for w, m in row.x:
-            table[w] = m
-    return np.unpackbits(table.view(np.uint8), bitorder="little").astype(bool)
-
-
-def _with_slot(docs: DataFrame, id_col: str) -> DataFrame:
-    return docs.withColumn("__slot", F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(1 << INVOLVED_BITS)))
-
-
-def _sets(docs: DataFrame, id_col: str, text_col: str, involved) -> DataFrame:
-    """(doc, n, tokens) of the documents in the bit table; tokens: 48 bits each."""
+def _sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
+    """(doc, n, tokens) of the documents that are wanted (doc), and some others; tokens: their hashes, sorted."""
+    docs = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    found = bit_table(wanted.select(F.xxhash64("doc")))
+    rows = (docs if found else docs.join(wanted.select("doc"), "doc", "left_semi")).withColumn("hash", F.xxhash64("doc"))
+    held = docs.sparkSession.sparkContext.broadcast(found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = involved.value
+        table = held.value
         for batch in batches:
-            batch = batch.filter(pa.array(table[batch.column(2).to_numpy()]))
+            if table is not None:
+                batch = batch.filter(pa.array(in_table(*table, batch.column(2).to_numpy())))
             for i, j, buf, offs in blocks(batch.column(1)):
                 sets = row_sets(words_of(buf, offs, SPACED_WORDS), K)
-                blobs = [s.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes() for s in sets]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(blobs, pa.binary())], ["doc", "n", "tokens"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc", "n", "tokens"])
 
-    rows = _with_slot(docs.where(F.col(id_col).isNotNull()).select(id_col, text_col), id_col)
     return over_arrow(rows, run, "doc long, n long, tokens binary")
 
 
-def _tokens(blob: bytes) -> np.ndarray:
-    six = np.frombuffer(blob, np.uint8).reshape(-1, 6)
-    out = np.zeros((len(six), 8), np.uint8)
-    out[:, 2:] = six
-    return out.view(U64)[:, 0]
+def _join_split(left: DataFrame, right: DataFrame, keys: list[str], value: str, weight: str, spread: str) -> DataFrame:
+    """left with the value of right by keys, which are unique there (null: none).
+
+    weight: rows of left by key. The keys with more than one in HOT_KEYS of all
+    rows, of which there are no more than HOT_KEYS, are broadcast; the others go
+    by a shuffle in which the rows of hot keys are dealt out by ``spread``.
+    """
+    total = right.agg(F.sum(weight)).first()[0] or 0
+    hot = right.where(F.col(weight) * HOT_KEYS > total).select(*keys, F.col(value).alias("hot_value"))
+    cold = right.where(F.col(weight) * HOT_KEYS <= total).select(*[F.col(k).alias(f"cold_{k}") for k in keys], F.col(value).alias("cold_value"))
+    both = left.join(F.broadcast(hot), keys, "left")
+    is_cold = F.col("hot_value").isNull()
+    at = [F.when(is_cold, F.col(keys[0])).otherwise(F.xxhash64(spread)) == F.col(f"cold_{keys[0]}"), *[F.col(k) == F.col(f"cold_{k}") for k in keys[1:]]]
+    joined = both.join(cold, reduce(lambda x, y: x & y, at) & is_cold, "left")
+    return joined.select(*left.columns, F.coalesce("hot_value", "cold_value").alias(value))
 
 
 def _possible(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
@@ -358,7 +373,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 part = batch.slice(i, 256)
                 linked = []
                 for x, y in zip(part.column(2), part.column(3), strict=True):
-                    x, y = _tokens(x.as_py()), _tokens(y.as_py())
+                    x, y = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
                     both = np.sort(np.concatenate([x, y]), kind="stable")
                     common = int((both[1:] == both[:-1]).sum())
                     linked.append(100 * common >= percent * (len(x) + len(y) - common))
@@ -373,26 +388,27 @@ def _close(a: str, b: str, percent: int):
 
 @dataclass
 class Candidates:
-    """What components and links start from. members: the keys of two or more classes, with their hubs."""
+    """What components and links start from. placed: (doc, n, rep) of each row with an id; members: the keys of two or more classes, with their hubs."""
 
     scratch: Scratch
     profile: DataFrame
     one: DataFrame
-    named: DataFrame
-    classes: DataFrame
+    placed: DataFrame
     members: DataFrame
     tested: Callable[[DataFrame], DataFrame]
 
 
 def _candidates(docs: DataFrame, id_col: str, text_col: str, percent: int) -> Candidates:
     spark = docs.sparkSession
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        raise TypeError(f"ids must be integers; {id_col} is {docs.schema[id_col].dataType.simpleString()}")
     scratch = Scratch(spark, "jaccard")
     docs = docs.select(id_col, text_col)
     profile = scratch.keep(_profile(docs, id_col, text_col, percent), "profile")
     one = profile.where("kind = 0").select(F.col("a").alias("doc"), F.col("b").alias("n"), F.col("c").alias("f1"), F.col("d").alias("f2"))
     named = one.where("doc is not null")
     costs = {int(r.a): (float(r.b), float(r.c), float(r.d)) for r in profile.where("kind = 2").groupBy("a").agg(F.sum("b").alias("b"), F.sum("c").alias("c"), F.sum("d").alias("d")).collect()}
-    boundary = choose_boundary(costs)
+    boundary = choose_boundary(costs, percent)
     hot = profile.where("kind = 1").groupBy("a").agg(F.sum("b").alias("n")).where(F.col("n") >= HOT_LEAST).orderBy(F.desc("n"), "a").limit(HOT_KEPT)
     table = hot.toArrow()
     tokens, counts = table.column("a").to_numpy().view(U64) if len(table) else np.zeros(0, U64), table.column("n").to_numpy() if len(table) else np.zeros(0, np.int64)
@@ -405,19 +421,23 @@ def _candidates(docs: DataFrame, id_col: str, text_col: str, percent: int) -> Ca
     shared = scratch.keep(_shared(_keys(docs, id_col, text_col, order, boundary, ranges, percent)), "shared")
 
     # classes of equal sets (the empty set is no class), and each document's number of keys that it alone has
-    classes = named.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc").alias("rep"), F.count("*").alias("copies"))
-    classes = scratch.keep(named.where("n > 0").join(classes.where("copies > 1"), ["f1", "f2", "n"]).select("doc", "rep").distinct(), "classes")
-    sizes = named.groupBy("doc").agg(F.max("n").alias("n")).join(classes, "doc", "left")
+    classes = named.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
+    placed = _join_split(named, scratch.keep(classes, "classes"), ["f1", "f2", "n"], "rep", "copies", "doc")
+    placed = scratch.keep(placed.select("doc", "n", F.coalesce("rep", "doc").alias("rep")), "placed")
     p = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1
     all_keys = F.when(F.col("n") <= boundary, (p + 1) * p / 2).otherwise(0) + F.when(F.col("n") * 100 >= percent * boundary, p).otherwise(0)
-    own = shared.groupBy("doc").agg(F.count("*").alias("m")).join(sizes, "doc").select("doc", F.coalesce("rep", "doc").alias("rep"), "n", (all_keys - F.col("m")).alias("alone"))
-    each = shared.join(own, "doc").groupBy("key", F.col("rep").alias("doc"), "n").agg(F.min("alone").alias("alone"))
+    sizes = placed.groupBy("doc", "rep").agg(F.max("n").alias("n"))
+    own = shared.groupBy("doc").agg(F.count("*").alias("m")).join(sizes, "doc").select("doc", "rep", "n", (all_keys - F.col("m")).alias("alone"))
+    each = scratch.keep(shared.join(own, "doc").groupBy("key", F.col("rep").alias("doc"), "n").agg(F.min("alone").alias("alone")), "each")
 
     # hubs: two members of each key against the others, linear in the list. The first is the one with the fewest
     # keys of its own, the text that copies were made from, or near it; the second is any.
     one_of = F.struct("doc", "n")
-    hubs = each.groupBy("key").agg(F.count("*").alias("m"), F.min_by(one_of, F.struct("alone", "doc")).alias("h"), F.max_by(one_of, F.xxhash64("doc")).alias("g"))
-    members = scratch.keep(each.join(hubs.where("m > 1"), "key").select("key", "doc", "n", "h", "g"), "members")
+    hubs = each.groupBy("key").agg(F.count("*").alias("m"), F.min_by(one_of, F.struct("alone", "doc")).alias("h"), F.max_by(one_of, F.xxhash64("doc")).alias("g")).where("m > 1")
+    hubs = scratch.keep(hubs.select("key", "m", F.struct("h", "g", "m").alias("hub")), "hubs")
+    members = _join_split(each.select("key", "doc", "n"), hubs, ["key"], "hub", "m", "doc").where("hub is not null")
+    members = scratch.keep(members.select("key", "doc", "n", "hub.h", "hub.g", F.col("hub.m").alias("m")), "members")
+    scratch.drop(each)
     scratch.drop(shared)
     scratch.release()
     bits = profile.where("kind = 0 and a is not null and b > 0").select(F.col("a").alias("doc"), F.col("b").alias("n"), "bits")
@@ -425,16 +445,15 @@ def _candidates(docs: DataFrame, id_col: str, text_col: str, percent: int) -> Ca
     def tested(pairs: DataFrame) -> DataFrame:
         """(a, b, linked) of those pairs that may link."""
         possible = scratch.keep(_possible(pairs, bits, percent), "possible")
-        ends = possible.select(F.col("a").alias("doc")).unionByName(possible.select(F.col("b").alias("doc"))).distinct()
-        table = spark.sparkContext.broadcast(_involved_table(ends))
-        sets = scratch.keep(_sets(docs, id_col, text_col, table), "sets")
+        ends = scratch.keep(possible.select(F.col("a").alias("doc")).unionByName(possible.select(F.col("b").alias("doc"))).distinct(), "ends")
+        sets = scratch.keep(_sets(docs, id_col, text_col, ends), "sets")
         out = scratch.keep(_verify(possible, sets, percent), "tested")
         scratch.drop(sets)
         scratch.drop(possible)
         scratch.release()
         return out
 
-    return Candidates(scratch, profile, one, named, classes, members, tested)
+    return Candidates(scratch, profile, one, placed, members, tested)
 
 
 def _folded(profile: DataFrame) -> DataFrame:
@@ -447,33 +466,46 @@ def _may_link(percent: int):
     return _close("n", "n2", percent) & (differ * (100 + percent) <= (F.col("n") + F.col("n2")) * (100 - percent))
 
 
+def _met(rows: DataFrame, percent: int, apart: bool) -> DataFrame:
+    """(a, b) of rows (key, m, doc, n, c, w0, ...) that share a key and may link, by sizes and parities; apart: of different c only.
+
+    A key of many members is dealt out: its rows go in blocks, each of which
+    meets all rows of the key, so no task holds more than a block against them.
+    """
+    parts = F.greatest(F.lit(1), F.ceil(F.col("m") / BLOCK_MEMBERS)).cast("int")
+    left = rows.withColumn("block", F.pmod(F.xxhash64("doc"), parts.cast("long")).cast("int"))
+    other = rows.select(F.col("key").alias("key2"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("block2"), F.col("doc").alias("doc2"), F.col("n").alias("n2"), F.col("c").alias("c2"), *[F.col(f"w{k}").alias(f"x{k}") for k in range(FOLD_WORDS)])
+    wanted = (F.col("key") == F.col("key2")) & (F.col("block") == F.col("block2")) & (F.col("doc") < F.col("doc2")) & _may_link(percent)
+    met = left.join(other, wanted & (F.col("c") != F.col("c2")) if apart else wanted)
+    return met.select(F.col("doc").alias("a"), F.col("doc2").alias("b")).distinct()
+
+
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """(id, n_shingles, component_id) for each document; component_id: least id reachable by links."""
+    """(id, n_shingles, component_id) for each row; component_id: least id reachable by links (rows of one id are one document)."""
     own = _candidates(docs, id_col, text_col, percent)
-    scratch, profile, one, named, classes, members, tested = own.scratch, own.profile, own.one, own.named, own.classes, own.members, own.tested
+    scratch, members, tested = own.scratch, own.members, own.tested
     stars = members.select("doc", "n", F.explode(F.array("h", "g")).alias("h")).where("doc <> h.doc").where(_close("n", "h.n", percent))
     stars = stars.select(F.least("doc", "h.doc").alias("a"), F.greatest("doc", "h.doc").alias("b")).distinct()
     tried = tested(stars)
-    links = tried.where("linked").select("a", "b")
+    both = own.placed.groupBy("doc").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b")  # an id with several texts
+    same = own.placed.join(both.select("doc"), "doc", "left_semi").select(F.col("rep").alias("a"), F.col("doc").alias("b"))
+    links = scratch.keep(tried.where("linked").select("a", "b").unionByName(same.where("a <> b")).distinct(), "links")
     comp = scratch.keep(connected_components(links, scratch), "comp")
     scratch.release()
 
     # the rest: pairs of a key whose components differ, and whose parities (folded) allow a link
-    placed = scratch.keep(members.join(comp.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("c")), "placed")
+    named = members.select("key", "doc", "n", "m").join(comp.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "n", "m", F.coalesce("component", "doc").alias("c"))
+    named = scratch.keep(named, "named")
     scratch.drop(members)
-    mixed = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).where("lo < hi and m > 2").select("key")
-    folded = _folded(profile)
-    open_ = placed.join(mixed, "key", "left_semi").join(folded, "doc")
-    other = open_.select("key", F.col("doc").alias("doc2"), F.col("n").alias("n2"), F.col("c").alias("c2"), *[F.col(f"w{k}").alias(f"x{k}") for k in range(FOLD_WORDS)])
-    rest = open_.join(other, (open_.key == other.key) & (open_.c != other.c2) & (open_.doc < other.doc2) & _may_link(percent))
-    rest = rest.select(F.col("doc").alias("a"), F.col("doc2").alias("b")).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    mixed = scratch.keep(named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).where("lo < hi and m > 2").select("key", "m", F.lit(True).alias("mixed")), "mixed")
+    open_ = _join_split(named, mixed, ["key"], "mixed", "m", "doc").where("mixed").join(_folded(own.profile), "doc")
+    rest = _met(open_, percent, True).join(tried.select("a", "b"), ["a", "b"], "left_anti")
     late = tested(rest).where("linked").select("a", "b")
     if late.limit(1).count():
         comp = scratch.keep(connected_components(links.unionByName(late), scratch), "comp2")
 
-    reps = named.join(classes, "doc", "left").select("doc", "n", F.coalesce("rep", "doc").alias("rep"))
-    out = reps.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
-    lost = one.where("doc is null").select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.col("doc").alias("component_id"))
+    out = own.placed.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+    lost = own.one.where("doc is null").select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.col("doc").alias("component_id"))
     return out.unionByName(lost)
 
 
@@ -492,11 +524,9 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", perce
     follows the number of such pairs; copies stay in their class.
     """
     own = _candidates(docs, id_col, text_col, percent)
-    listed = own.scratch.keep(own.members.select("key", "doc", "n").join(_folded(own.profile), "doc"), "listed")
-    other = listed.select(F.col("key").alias("key2"), F.col("doc").alias("doc2"), F.col("n").alias("n2"), *[F.col(f"w{k}").alias(f"x{k}") for k in range(FOLD_WORDS)])
-    pairs = listed.join(other, (F.col("key") == F.col("key2")) & (F.col("doc") < F.col("doc2")) & _may_link(percent))
-    found = own.tested(pairs.select(F.col("doc").alias("a"), F.col("doc2").alias("b")).distinct()).where("linked").select("a", "b")
-    known = own.named.join(own.classes, "doc", "left").select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("rep", "doc").alias("class_id"))
+    listed = own.scratch.keep(own.members.select("key", "doc", "n", "m", F.col("doc").alias("c")).join(_folded(own.profile), "doc"), "listed")
+    found = own.tested(_met(listed, percent, False)).where("linked").select("a", "b")
+    known = own.placed.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.col("rep").alias("class_id"))
     lost = own.one.where("doc is null").select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.col("doc").alias("class_id"))
     return Links(found, known.unionByName(lost))
 
@@ -519,20 +549,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pe
     """
     found = components(docs, id_col, text_col, percent)
     gone = Scratch(docs.sparkSession, "gone").keep(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).cast("long").alias("doc")).distinct(), "gone")
-    table = docs.sparkSession.sparkContext.broadcast(_involved_table(gone))
-    slot_at = len(docs.columns)
-
-    def part(wanted: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                hit = table.value[batch.column(slot_at).to_numpy()]
-                yield batch.filter(pa.array(hit == wanted)).select(list(range(slot_at)))
-
-        return over_arrow(_with_slot(docs, id_col), run, docs.schema)
-
-    gone = gone.select(F.col("doc").alias("__gone"))
-    checked = part(True)
-    return part(False).unionByName(checked.join(gone, checked[id_col] == gone["__gone"], "left_anti"))
+    return without(docs, gone, [F.col(id_col).cast("long")])
 
 
 def link_report(spark: SparkSession, sf_dir: str) -> DataFrame:
