@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from veclume.operators.stats import finite
+from veclume.operators.stats import finite, selected
 
 
 def uniform_edges(low: float, high: float, bins: int) -> list[float]:
@@ -28,8 +28,8 @@ def log_edges(low: float, high: float, bins: int) -> list[float]:
 
 def frequency_edges(df: DataFrame, value: str, bins: int) -> list[float]:
     """Least value, quantiles at k / bins, greatest value."""
-    q = df.select(F.percentile(finite(value), F.array(*[F.lit(k / bins) for k in range(bins + 1)]))).first()[0]
-    return list(q or [])
+    found = selected(df.select(finite(value).alias("v")), "v", tuple(k / bins for k in range(bins + 1))).first()
+    return list(found.q) if found else []
 
 
 def extent(df: DataFrame, value: str) -> tuple[float, float]:
@@ -73,6 +73,13 @@ def logarithmic(df: DataFrame, value: str, bins: int, by: list[str] | None = Non
     return histogram(positive, value, log_edges(*extent(positive, value), bins), by)
 
 
+def averaged(hist: DataFrame, by: str) -> DataFrame:
+    """(bin, low, high, mean_count, mean_share) over the histograms of all groups, which have the same edges."""
+    total = F.sum("count").over(Window.partitionBy(by))  # a row a bin
+    share = hist.withColumn("share", F.when(total > 0, F.col("count") / total).otherwise(0.0))
+    return share.groupBy("bin", "low", "high").agg(F.avg("count").alias("mean_count"), F.avg("share").alias("mean_share"))
+
+
 def normalized(hist: DataFrame) -> DataFrame:
     total = F.sum("count").over(Window.partitionBy())
     return hist.withColumn("share", F.when(total > 0, F.col("count") / total).otherwise(0.0))
