@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from math import ceil, isqrt
 
 import numpy as np
@@ -112,18 +113,39 @@ def fit(df: DataFrame, k: int, iterations: int = 25, tolerance: float = 1e-3, se
     """Assign, update, give empty centroids the farthest vectors, until the greatest movement is under the tolerance."""
     c = init.copy() if isinstance(init, np.ndarray) else initial(df, k, seed, init, id_col, vec)
     moved = float("inf")
-    for step in range(1, iterations + 1):
-        sums, counts, _, far = update(df, c, vec, id_col)
-        new = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], c)
-        for j, (_, v) in zip(np.flatnonzero(counts == 0), far, strict=False):
-            new[j] = v
-        moved = float(np.sqrt(((new - c) ** 2).sum(axis=1)).max())
-        c = new
-        if moved < tolerance:
-            return KMeansModel(c, step, moved, True)
+    rows = df.select(id_col, vec).persist()  # read once; what is lost is read again
+    try:
+        for step in range(1, iterations + 1):
+            sums, counts, _, far = update(rows, c, vec, id_col)
+            new = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], c)
+            for j, (_, v) in zip(np.flatnonzero(counts == 0), far, strict=False):
+                new[j] = v
+            moved = float(np.sqrt(((new - c) ** 2).sum(axis=1)).max())
+            c = new
+            if moved < tolerance:
+                return KMeansModel(c, step, moved, True)
+    finally:
+        rows.unpersist()
     return KMeansModel(c, iterations, moved, False)
 
 
+def means(df: DataFrame, by: str, vec: str = "embedding") -> DataFrame:
+    """(by, i, mean): the mean vector of each group, an element a row, by one partial aggregation; null vectors take no part."""
+    return df.select(by, F.posexplode(F.col(vec).cast("array<double>")).alias("i", "v")).groupBy(by, "i").agg(F.avg("v").alias("mean"))
+
+
+def fit_mini_batch(df: DataFrame, k: int, steps: int, rate: float = 0.1, share: float = 0.1, seed: int = 0, init: str | np.ndarray = "kmeans++", id_col: str = "vec_id", vec: str = "embedding") -> KMeansModel:
+    """Centroids moved toward the means of a batch a step: rows whose hash falls into the step's share, summed on the tasks."""
+    c = init.copy() if isinstance(init, np.ndarray) else initial(df, k, seed, init, id_col, vec)
+    moved, whole = 0.0, 1 << 30
+    for step in range(steps):
+        batch = df.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(seed), F.lit(step)), F.lit(whole)) < int(whole * share))
+        sums, counts, _, _ = update(batch, c, vec, id_col)
+        new = np.where(counts[:, None] > 0, c + rate * (sums / np.maximum(counts, 1)[:, None] - c), c)
+        moved, c = float(np.sqrt(((new - c) ** 2).sum(axis=1)).max()), new
+    return KMeansModel(c, steps, moved, False)
+
+
 def mini_batch_step(centroids: np.ndarray, x: np.ndarray, rate: float) -> np.ndarray:
     """c + rate (mean of its vectors - c)."""
     at, _ = nearest(x, centroids)
@@ -155,19 +177,22 @@ def assign(df: DataFrame, centroids: np.ndarray, id_col: str = "vec_id", vec: st
     return df.mapInArrow(run, schema)
 
 
-def ivf_search(assigned: DataFrame, centroids: np.ndarray, queries: DataFrame, k: int, nprobe: int, id_col: str = "vec_id", query_id: str = "vec_id", vec: str = "embedding") -> DataFrame:
+def ivf_search(assigned: DataFrame, centroids: np.ndarray, queries: DataFrame, k: int, nprobe: int, id_col: str = "vec_id", query_id: str = "vec_id", vec: str = "embedding", query_vec: str | None = None, codes: tuple[float, float] | None = None) -> DataFrame:
     """(query_id, rank, id, distance) from the nprobe nearest lists of each query; exact within them.
 
     ``assigned`` holds cluster_id (best stored partitioned by it: then only the
     probed lists are read). Queries go in blocks; a task compares its rows with
-    the queries that probe their list.
+    the queries that probe their list. With ``codes`` (scale, zero point), vec
+    holds integer codes, and queries are compared in the codes' own units.
     """
     if not 0 < nprobe <= len(centroids):
         raise ValueError("nprobe must be 1 to the number of lists")
     parts = []
-    for ids, q in query_blocks(queries, query_id, vec):
+    scale, zero = codes or (1.0, 0.0)
+    for ids, q in query_blocks(queries, query_id, query_vec or vec):
         d = rough(q, centroids, "euclidean")
         probes = np.argsort(d, axis=1, kind="stable")[:, :nprobe]
+        q = q / scale + zero
         by_list: dict[int, np.ndarray] = {int(c): np.flatnonzero((probes == c).any(axis=1)) for c in np.unique(probes)}
         held = assigned.sparkSession.sparkContext.broadcast((np.array(ids), q, by_list))
 
@@ -179,7 +204,7 @@ def ivf_search(assigned: DataFrame, centroids: np.ndarray, queries: DataFrame, k
                 for c in np.unique(clusters):
                     rows = np.flatnonzero(clusters == c)
                     for r in lists.get(int(c), ()):
-                        dist = exact(x[rows], np.broadcast_to(queries[r], (len(rows), queries.shape[1])), "euclidean")
+                        dist = scale**2 * exact(x[rows], np.broadcast_to(queries[r], (len(rows), queries.shape[1])), "euclidean")
                         held_d, held_i = kept.get(int(r), (np.zeros(0), np.zeros(0, np.int64)))
                         dist, at = np.concatenate([held_d, dist]), np.concatenate([held_i, own[rows]])
                         order = np.lexsort((at, dist))[:k]
@@ -190,10 +215,35 @@ def ivf_search(assigned: DataFrame, centroids: np.ndarray, queries: DataFrame, k
         lists = [int(c) for c in by_list]
         rows = assigned.where(F.col("cluster_id").isin(lists)).select(F.col(id_col).cast("long"), F.col("cluster_id"), vec)
         parts.append(rows.mapInArrow(run, "query_id long, id long, distance double"))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    return topk(found, "query_id", ["distance", "id"], k).select("query_id", "rank", "id", "distance")
+    if not parts:
+        return assigned.sparkSession.createDataFrame([], "query_id long, rank long, id long, distance double")
+    return topk(reduce(DataFrame.unionByName, parts), "query_id", ["distance", "id"], k).select("query_id", "rank", "id", "distance")
+
+
+#: Rows that a probe rule is measured on, about.
+HELD_OUT = 200
+
+
+def measured_nprobe(assigned: DataFrame, centroids: np.ndarray, k: int, recall: float, seed: int = 0, id_col: str = "vec_id", vec: str = "embedding", held_out: int = HELD_OUT) -> int:
+    """The least number of lists that finds this share of the true k nearest of held-out rows, and a little more.
+
+    About ``held_out`` rows, chosen by a hash, are searched exactly; each true
+    neighbour lies in a list, whose place in the query's order of lists says
+    how many probes find it. The share is asked for with a margin of two
+    standard errors, so that other queries reach it too.
+    """
+    n = assigned.where(F.col(vec).isNotNull()).count()
+    whole = 1 << 40
+    chosen = assigned.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(seed), F.lit(17)), F.lit(whole)) < int(whole * min(1.0, held_out / max(n, 1)))).select(id_col, vec)
+    truth = knn(assigned, chosen, k, "euclidean", id_col, id_col, vec)
+    where = truth.join(assigned.select(F.col(id_col).cast("long").alias("id"), "cluster_id"), "id").select("query_id", "cluster_id").toArrow()  # k rows a held-out query
+    held = {r[0]: np.array(r[1], float) for r in chosen.select(F.col(id_col).cast("long"), vec).where(F.col(vec).isNotNull()).collect()}
+    if not len(where):
+        return len(centroids)
+    order = {i: np.argsort(np.argsort(rough(v[None, :], centroids, "euclidean")[0], kind="stable"), kind="stable") for i, v in held.items()}
+    place = np.sort([order[q][c] for q, c in zip(where.column(0).to_pylist(), where.column(1).to_pylist(), strict=True)])
+    asked = min(1.0, recall + 2 * (recall * (1 - recall) / len(place)) ** 0.5)
+    return int(place[min(ceil(asked * len(place)), len(place)) - 1]) + 1
 
 
 def search(df: DataFrame, queries: DataFrame, k: int, model: KMeansModel | None, nprobe: int, n: int, threshold: int = 10_000) -> DataFrame:

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veclume.functions.vector import l2
 from veclume.operators.kmeans import nearest
 from veclume.operators.topk import topk
 from veclume.plans.blocked import matrix, query_blocks
@@ -17,19 +19,32 @@ MAX_CODES = 256
 INIT_SAMPLE = 20_000
 
 
-def train(df: DataFrame, m: int, k: int = MAX_CODES, iterations: int = 25, tolerance: float = 1e-3, seed: int = 0, id_col: str = "vec_id", vec: str = "embedding", progress: Callable[[int, float], None] | None = None) -> np.ndarray:
-    """m x k x d codebook. First centroids: rows chosen by a hash; codes without vectors keep theirs.
+def train(df: DataFrame, m: int, k: int = MAX_CODES, iterations: int = 25, tolerance: float = 1e-3, seed: int = 0, id_col: str = "vec_id", vec: str = "embedding", progress: Callable[[int, float], None] | None = None, init: np.ndarray | None = None) -> np.ndarray:
+    """m x k x d codebook. First centroids: init (k vectors), or rows chosen by a hash; codes without vectors keep theirs.
 
     An iteration is one pass: sums by sub-space and code on each task, m x k rows
     a task in the shuffle.
     """
     if not 0 < k <= MAX_CODES:
         raise ValueError(f"k must be 1 to {MAX_CODES}")
-    first = df.select(id_col, vec).where(F.col(vec).isNotNull()).orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), id_col).limit(k)
-    x = matrix(first.toArrow().column(vec))
+    x = init
+    if x is None:
+        first = df.select(id_col, vec).where(F.col(vec).isNotNull()).orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), id_col).limit(k)
+        x = matrix(first.toArrow().column(vec))
     if len(x) < k or x.shape[1] % m:
         raise ValueError(f"{len(x)} vectors of {x.shape[1]} for {m} sub-spaces of {k} codes")
-    book = x.reshape(k, m, -1).transpose(1, 0, 2).copy()
+    rows = df.select(vec).where(F.col(vec).isNotNull()).persist()  # read once; what is lost is read again
+    try:
+        return _lloyd(rows, x.reshape(k, m, -1).transpose(1, 0, 2).copy(), iterations, tolerance, vec, progress)
+    finally:
+        rows.unpersist()
+
+
+def _lloyd(df: DataFrame, book: np.ndarray, iterations: int, tolerance: float, vec: str, progress: Callable[[int, float], None] | None) -> np.ndarray:
+    def add(group: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(b.as_py()) for b in group.column("sums"))
+        return pa.table({"m": group.column("m")[:1], "k": group.column("k")[:1], "n": pa.array([int(group.column("n").to_numpy().sum())]), "sums": pa.array([total.tobytes()], pa.binary())})
+
     for step in range(1, iterations + 1):
         held = df.sparkSession.sparkContext.broadcast(book)
 
@@ -44,13 +59,12 @@ def train(df: DataFrame, m: int, k: int = MAX_CODES, iterations: int = 25, toler
                     np.add.at(sums[s], at, part)
                     counts[s] += np.bincount(at, minlength=b.shape[1])
             s, c = np.nonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(c), pa.array(counts[s, c]), pa.array(list(sums[s, c]), pa.list_(pa.float64()))], ["m", "k", "n", "sums"])
+            yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(c), pa.array(counts[s, c]), pa.array([v.tobytes() for v in sums[s, c]], pa.binary())], ["m", "k", "n", "sums"])
 
-        parts = df.select(vec).where(F.col(vec).isNotNull()).mapInArrow(run, "m long, k long, n long, sums array<double>")
-        cells = parts.select("m", "k", "n", F.posexplode("sums").alias("p", "v")).groupBy("m", "k", "p").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()
+        parts = df.select(vec).mapInArrow(run, "m long, k long, n long, sums binary")
         new = book.copy()
-        for r in cells:
-            new[r.m, r.k, r.p] = r.v / r.n
+        for r in parts.groupBy("m", "k").applyInArrow(add, parts.schema).collect():  # a row a code
+            new[r.m, r.k] = np.frombuffer(r.sums) / r.n
         moved = float(np.sqrt(((new - book) ** 2).sum() / (book.shape[0] * book.shape[1])))
         book = new
         if progress:
@@ -117,7 +131,15 @@ def search(coded: DataFrame, book: np.ndarray, queries: DataFrame, k: int, id_co
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), names[r]), pa.int64()), pa.array(at, pa.int64()), pa.array(dist)], ["query_id", "id", "distance"])
 
         parts.append(coded.select(F.col(id_col).cast("long"), "codes").mapInArrow(run, "query_id long, id long, distance double"))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+    if not parts:
+        return coded.sparkSession.createDataFrame([], "query_id long, rank long, id long, distance double")
+    return topk(reduce(DataFrame.unionByName, parts), "query_id", ["distance", "id"], k).select("query_id", "rank", "id", "distance")
+
+
+def reranked(coded: DataFrame, book: np.ndarray, queries: DataFrame, k: int, candidates: int, id_col: str = "vec_id", query_id: str = "vec_id", vec: str = "embedding") -> DataFrame:
+    """(query_id, rank, id, distance): the k nearest by exact L2 among so many candidates a query that ``search`` finds."""
+    near = search(coded, book, queries, candidates, id_col, query_id, vec).select("query_id", "id")
+    own = coded.select(F.col(id_col).cast("long").alias("id"), F.col(vec).alias("v"))
+    asked = queries.select(F.col(query_id).cast("long").alias("query_id"), F.col(vec).alias("q"))
+    found = near.join(own, "id").join(asked, "query_id").select("query_id", "id", l2("q", "v").alias("distance"))
     return topk(found, "query_id", ["distance", "id"], k).select("query_id", "rank", "id", "distance")
