@@ -9,7 +9,7 @@ them, however many tie, are ordered by exact distance and id. The shuffle carrie
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -40,7 +40,11 @@ def matrix(column: pa.Array, dimension: int | None = None) -> np.ndarray:
     return flat.reshape(len(column), width)
 
 
-def rough(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
+#: A metric by name (``minkowski:p`` with its exponent), or a function of two matrices that gives the distances of their rows.
+Metric = str | Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+def rough(x: np.ndarray, q: np.ndarray, metric: Metric) -> np.ndarray:
     """rows x queries distances, fast; smaller is nearer."""
     if metric == "euclidean":
         return (x * x).sum(1)[:, None] + (q * q).sum(1)[None, :] - 2 * (x @ q.T)
@@ -58,8 +62,26 @@ def _cosine(dot: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.clip(np.divide(dot, size, out=np.zeros_like(dot), where=size > 1.17549435e-38), -1, 1)
 
 
-def exact(x: np.ndarray, y: np.ndarray, metric: str) -> np.ndarray:
+def _minkowski(x: np.ndarray, y: np.ndarray, p: float) -> np.ndarray:
+    """As ``functions.vector.minkowski``: scaled by the greatest difference, which stands for p over 30."""
+    if p <= 0:
+        raise ValueError("p must be positive")
+    d = np.abs(x - y)
+    if abs(p - 1) < 1e-3:
+        return d.sum(1)
+    most = d.max(1, initial=0)
+    if p > 30:
+        return most
+    size = np.where(most > 0, most, 1)[:, None]
+    return np.where(most > 0, most * (np.where(d < 1e-10, 0, d / size) ** p).sum(1) ** (1 / p), 0.0)
+
+
+def exact(x: np.ndarray, y: np.ndarray, metric: Metric) -> np.ndarray:
     """Distances of rows of x and y, each summed alike wherever it stands."""
+    if callable(metric):
+        return np.asarray(metric(x, y), float)
+    if metric.startswith("minkowski:"):
+        return _minkowski(x, y, float(metric.partition(":")[2]))
     if metric == "euclidean":
         return ((x - y) ** 2).sum(1)
     if metric == "manhattan":
@@ -70,6 +92,8 @@ def exact(x: np.ndarray, y: np.ndarray, metric: str) -> np.ndarray:
         return -(x * y).sum(1)
     if metric == "cosine":
         return 1 - _cosine((x * y).sum(1), np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1)))
+    if metric == "packed":  # words of at most 53 bits, as floats hold them
+        return np.bitwise_count(x.astype(np.uint64) ^ y.astype(np.uint64)).sum(1).astype(float)
     if metric == "hamming":
         return ((x > 0) != (y > 0)).sum(1).astype(float)
     if metric == "jaccard":
@@ -91,7 +115,7 @@ def query_blocks(queries: DataFrame, query_id: str, vec: str) -> Iterator[tuple[
         yield ids, np.array(rows, np.float64)
 
 
-def _rounding(x: np.ndarray, q: np.ndarray, d: np.ndarray, metric: str) -> np.ndarray:
+def _rounding(x: np.ndarray, q: np.ndarray, d: np.ndarray, metric: Metric) -> np.ndarray:
     """rows x queries bounds of what ``rough`` and ``exact`` may differ by."""
     unit = 4 * (x.shape[1] + 4) * np.finfo(float).eps
     if metric == "euclidean":
@@ -104,7 +128,7 @@ def _rounding(x: np.ndarray, q: np.ndarray, d: np.ndarray, metric: str) -> np.nd
 class Nearest:
     """The k least (exact distance, id) of each query over the rows seen so far."""
 
-    def __init__(self, queries: np.ndarray, k: int, metric: str) -> None:
+    def __init__(self, queries: np.ndarray, k: int, metric: Metric) -> None:
         self.queries, self.k, self.metric = queries, k, metric
         self.row, self.id, self.d = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)  # by query, distance, id
         self.bound = np.full(len(queries), np.inf)
@@ -141,7 +165,7 @@ class Nearest:
         self.bound[row[last]] = np.where(np.isnan(d[last]), np.inf, d[last])
 
 
-def _block(db: DataFrame, ids: list, q: np.ndarray, k: int, metric: str, db_id: str, vec: str, exclude_self: bool) -> DataFrame:
+def _block(db: DataFrame, ids: list, q: np.ndarray, k: int, metric: Metric, db_id: str, vec: str, exclude_self: bool) -> DataFrame:
     held = db.sparkSession.sparkContext.broadcast((ids, q))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +184,7 @@ def _block(db: DataFrame, ids: list, q: np.ndarray, k: int, metric: str, db_id:
     return db.select(F.col(db_id).cast("long"), vec).mapInArrow(run, "query_id long, id long, distance double")
 
 
-def knn(db: DataFrame, queries: DataFrame, k: int, metric: str = "euclidean", db_id: str = "vec_id", query_id: str = "vec_id", vec: str = "embedding", where: Column | None = None, exclude_self: bool = False) -> DataFrame:
+def knn(db: DataFrame, queries: DataFrame, k: int, metric: Metric = "euclidean", db_id: str = "vec_id", query_id: str = "vec_id", vec: str = "embedding", where: Column | None = None, exclude_self: bool = False) -> DataFrame:
     """(query_id, rank, id, distance): the k nearest rows of db; ties by id.
 
     where filters db before the search, so k rows come back if k match. Rows
@@ -175,7 +199,18 @@ def knn(db: DataFrame, queries: DataFrame, k: int, metric: str = "euclidean", db
     return topk(found, "query_id", ["distance", "id"], k).select("query_id", "rank", "id", "distance")
 
 
-def within(db: DataFrame, queries: DataFrame, radius: float, metric: str = "euclidean", db_id: str = "vec_id", query_id: str = "vec_id", vec: str = "embedding") -> DataFrame:
+def pairwise(db: DataFrame, queries: DataFrame, metric: Metric = "euclidean", db_id: str = "vec_id", query_id: str = "vec_id", vec: str = "embedding") -> DataFrame:
+    """(query_id, id, distance) of a stated query set against all rows: the distance matrix, in long form; nothing is shuffled."""
+    return within(db, queries, float("inf"), metric, db_id, query_id, vec)
+
+
+def most_similar(db: DataFrame, queries: DataFrame, k: int, metric: Metric = "jaccard", db_id: str = "vec_id", query_id: str = "vec_id", vec: str = "embedding") -> DataFrame:
+    """(query_id, rank, id, similarity): greatest 1 - distance first, ties by id."""
+    near = knn(db, queries, k, metric, db_id, query_id, vec)
+    return near.select("query_id", "rank", "id", (1 - F.col("distance")).alias("similarity"))
+
+
+def within(db: DataFrame, queries: DataFrame, radius: float, metric: Metric = "euclidean", db_id: str = "vec_id", query_id: str = "vec_id", vec: str = "embedding") -> DataFrame:
     """(query_id, id, distance) of all rows within the radius of a query (a range join); nothing is shuffled."""
     db = db.where(F.col(db_id).isNotNull() & F.col(vec).isNotNull())
     parts = []
@@ -188,11 +223,13 @@ def within(db: DataFrame, queries: DataFrame, radius: float, metric: str = "eucl
                 x, own = matrix(batch.column(1), queries.shape[1]), batch.column(0).to_numpy(zero_copy_only=False)
                 for a in range(0, len(x), 4096):
                     part = x[a : a + 4096]
-                    near = rough(part, queries, metric) <= radius + 1e-6 * max(1.0, abs(radius))
+                    near = rough(part, queries, metric) <= radius + 1e-6 * max(1.0, abs(radius)) if np.isfinite(radius) else np.ones((len(part), len(queries)), bool)
                     i, j = np.nonzero(near)
-                    d = exact(part[i], queries[j], metric)
-                    keep = d <= radius
-                    yield pa.RecordBatch.from_arrays([pa.array(np.array(names)[j[keep]], pa.int64()), pa.array(own[a : a + 4096][i[keep]], pa.int64()), pa.array(d[keep])], ["query_id", "id", "distance"])
+                    for b in range(0, len(i), CANDIDATES):
+                        r, c = i[b : b + CANDIDATES], j[b : b + CANDIDATES]
+                        d = exact(part[r], queries[c], metric)
+                        keep = (d <= radius) | (not np.isfinite(radius))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.array(names)[c[keep]], pa.int64()), pa.array(own[a : a + 4096][r[keep]], pa.int64()), pa.array(d[keep])], ["query_id", "id", "distance"])
 
         parts.append(db.select(F.col(db_id).cast("long"), vec).mapInArrow(run, "query_id long, id long, distance double"))
     return reduce(DataFrame.unionByName, parts) if parts else db.sparkSession.createDataFrame([], "query_id long, id long, distance double")
