@@ -135,3 +135,57 @@ def per_channel_scales(df: DataFrame, vec: str, bits: int = 8) -> DataFrame:
     """(i, scale) of each dimension: greatest size / most."""
     most = (1 << (bits - 1)) - 1
     return df.select(F.posexplode(finite(vec)).alias("i", "v")).groupBy("i").agg(F.greatest(F.max(F.abs("v")) / most, F.lit(EPS)).alias("scale"))
+
+
+def per_channel(df: DataFrame, vec: str, bits: int = 8) -> tuple[DataFrame, list[float]]:
+    """Adds q, coded with a scale a dimension: (df, scales); the scales are one aggregation and become literals."""
+    scales = [r.scale for r in per_channel_scales(df, vec, bits).orderBy("i").collect()]
+    low, high = -(1 << (bits - 1)), (1 << (bits - 1)) - 1
+    q = F.zip_with(finite(vec), F.array(*[F.lit(s) for s in scales]).cast("array<double>"), lambda x, s: F.least(F.greatest(F.rint(x / s), F.lit(low)), F.lit(high)).cast("smallint"))
+    return df.withColumn("q", q), scales
+
+
+def per_channel_decode(q: ColumnLike, scales: list[float]) -> Column:
+    return F.zip_with(col(q), F.array(*[F.lit(s) for s in scales]).cast("array<double>"), lambda x, s: x * s)
+
+
+#: Greatest size of what the stored codes take, so that code x scale stays finite.
+SAFE_MAX = FLT_MAX / 256
+
+
+def sanitized(a: ColumnLike) -> Column:
+    """Elements in the vector's own finite range: infinities its ends, NaN 0 (within it); nothing finite: zeros."""
+    d = doubles(a)
+    is_finite = lambda x: ~F.isnan(x) & (F.abs(x) < float("inf"))
+    cut = lambda x: F.least(F.greatest(x, F.lit(-SAFE_MAX)), F.lit(SAFE_MAX))
+    own = F.transform(F.filter(d, is_finite), cut)
+    low, high = F.array_min(own), F.array_max(own)
+    other = lambda x: F.when(F.isnan(x), F.least(F.greatest(F.lit(0.0), low), high)).when(x > 0, high).otherwise(low)
+    return F.transform(d, lambda x: F.coalesce(F.when(is_finite(x), cut(x)).otherwise(other(x)), F.lit(0.0)))
+
+
+def stored(a: ColumnLike, bits: int = 8, symmetric_codes: bool = True) -> Column:
+    """STRUCT<q, scale, offset> with unsigned codes of 4, 8 or 16 bits, as files hold them, rounded half away from zero.
+
+    Symmetric codes are moved up by the greatest code; others count from the
+    least element. A range of zero takes the scale 1.
+    """
+    if bits not in (4, 8, 16):
+        raise ValueError(f"codes of {bits} bits; 4, 8 or 16")
+    d = sanitized(a)
+    if symmetric_codes:
+        most = (1 << (bits - 1)) - 1
+        wide, low = F.array_max(F.transform(d, F.abs)) / most, F.lit(0.0)
+    else:
+        most = (1 << bits) - 1
+        low = F.array_min(d)
+        wide = (F.array_max(d) - low) / most
+    scale = F.when(wide > 0, wide).otherwise(F.lit(1.0))
+    move = most if symmetric_codes else 0
+    q = F.transform(d, lambda x: (F.round(F.least(F.greatest((x - low) / scale, F.lit(float(-most if symmetric_codes else 0))), F.lit(float(most)))) + move).cast("int"))
+    return F.struct(q.alias("q"), scale.alias("scale"), low.alias("offset"))
+
+
+def stored_decode(code: ColumnLike, bits: int = 8, symmetric_codes: bool = True) -> Column:
+    c, move = col(code), (1 << (bits - 1)) - 1 if symmetric_codes else 0
+    return F.transform(c["q"], lambda x: (x - move) * c["scale"] + c["offset"])
