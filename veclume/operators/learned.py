@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veclume.functions import vector as V
-from veclume.plans.blocked import matrix
+from veclume.plans.blocked import knn, matrix
 
 
 def xavier(rows: int, columns: int, seed: int, scale: float = 1.0) -> np.ndarray:
@@ -57,6 +57,35 @@ def attention(query: str, key: str, heads: int, head_dim: int, temperature: floa
     return score / heads
 
 
+def distance(df: DataFrame, a: str, b: str, weights: np.ndarray | None = None, metric: str = "euclidean", out: str = "distance", force_standard: bool = False) -> DataFrame:
+    """Adds the distance of two vector columns and the mode: between projections if there are weights, else between the vectors."""
+    if weights is None or force_standard:
+        return df.withColumn(out, learned_distance(a, b, metric)).withColumn("mode", F.lit("standard"))
+    both = project(project(df, weights, a, "__pa"), weights, b, "__pb")
+    return both.withColumn(out, learned_distance("__pa", "__pb", metric)).withColumn("mode", F.lit("learned")).drop("__pa", "__pb")
+
+
+def search(db: DataFrame, queries: DataFrame, k: int, weights: np.ndarray | None = None, metric: str = "euclidean", vec: str = "embedding") -> DataFrame:
+    """(query_id, rank, id, distance) of the k nearest, between projections if there are weights, else between the vectors."""
+    if weights is not None:
+        db, queries = (project(d, weights, vec, "__p").drop(vec).withColumnRenamed("__p", vec) for d in (db, queries))
+    return knn(db, queries, k, metric, vec=vec)
+
+
+def attention_topk(keys: DataFrame, queries: DataFrame, k: int, query_weights: np.ndarray, key_weights: np.ndarray, heads: int, temperature: float | None = None, sigmoid: bool = False, vec: str = "embedding") -> DataFrame:
+    """(query_id, rank, id, score): the k keys with the greatest attention of each query, ties by id."""
+    dim = len(key_weights) // heads
+    t = temperature or dim**0.5
+
+    def less(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        s = (x * y).reshape(len(x), heads, dim).sum(axis=2) / t
+        return -(1 / (1 + np.exp(-s)) if sigmoid else s).mean(axis=1)
+
+    db = project(keys, key_weights, vec, "__p").drop(vec).withColumnRenamed("__p", vec)
+    asked = project(queries, query_weights, vec, "__p").drop(vec).withColumnRenamed("__p", vec)
+    return knn(db, asked, k, less, vec=vec).select("query_id", "rank", "id", (-F.col("distance")).alias("score"))
+
+
 def neural_encode(df: DataFrame, weights: np.ndarray, bias: np.ndarray, vec: str = "embedding", normalize: bool = True) -> DataFrame:
     """Adds code STRUCT<q, scale>: relu(W x + b), unit length if wanted, 8-bit symmetric codes."""
     p = project(df, weights, vec, "__h", bias, "relu", normalize)

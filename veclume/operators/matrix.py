@@ -61,9 +61,18 @@ def fused(a: DataFrame, b: DataFrame, bias: DataFrame | None = None, activation:
     return out.select(*(batch or []), "i", "j", UNARY[activation](v).alias("v"))
 
 
-def multiply_vector(m: DataFrame, x: DataFrame) -> DataFrame:
-    """(i, v) of M x, x: (j, v)."""
-    return m.join(x.select("j", F.col("v").alias("x")), "j").groupBy("i").agg(F.sum(F.col("v") * F.col("x")).alias("v"))
+def multiply_vector(m: DataFrame, x: DataFrame, batch: list[str] | None = None, normalize: bool = False) -> DataFrame:
+    """(batch..., i, v) of M x, x: (batch..., j, v); normalize: of unit length, unless it is all zeros."""
+    keys = batch or []
+    out = m.join(x.select(*keys, "j", F.col("v").alias("x")), [*keys, "j"]).groupBy(*keys, "i").agg(F.sum(F.col("v") * F.col("x")).alias("v"))
+    if not normalize:
+        return out
+    size = out.groupBy(*keys).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("size"))
+    if keys:
+        out = out.join(size, keys)
+    else:
+        out = out.withColumn("size", F.lit(size.first().size).cast("double"))  # one row
+    return out.select(*keys, "i", F.when(F.col("size") > 0, F.col("v") / F.col("size")).otherwise(0.0).alias("v"))
 
 
 def power_iteration(m: DataFrame, n: int, steps: int = 100, tolerance: float = 1e-10) -> tuple[float, list[float]]:
@@ -107,6 +116,22 @@ def from_vectors(df: DataFrame, id_col: str, vec: str) -> DataFrame:
     return df.select(F.col(id_col).cast("int").alias("i"), F.posexplode(F.col(vec).cast("array<double>")).alias("j", "v"))
 
 
+def strided(m: DataFrame, rows: int, stride: int | None = None) -> DataFrame:
+    """(batch, i, j, v): every ``stride`` (or rows) rows of a tall matrix the next matrix of ``rows`` rows; rows between are left out."""
+    step = stride or rows
+    return m.select((F.col("i") / step).cast("int").alias("batch"), (F.col("i") % step).cast("int").alias("i"), "j", "v").where(F.col("i") < rows)
+
+
+def row(m: DataFrame, i: int) -> DataFrame:
+    """(j, v) of a row."""
+    return m.where(F.col("i") == i).select("j", "v")
+
+
+def cell(m: DataFrame, i: int, j: int) -> DataFrame:
+    """(v) of a cell."""
+    return m.where((F.col("i") == i) & (F.col("j") == j)).select("v")
+
+
 def to_rows(m: DataFrame) -> DataFrame:
     """(i, row): rows as arrays in the order of their columns."""
     return m.groupBy("i").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "v"))), lambda s: s["v"]).alias("row"))  # a row of a matrix

@@ -41,6 +41,11 @@ def argmin(df: DataFrame, value: str, index: str) -> DataFrame:
     return df.agg(F.min(F.struct(F.col(value).alias("v"), F.col(index).alias("i"))).alias("s")).select("s.v", "s.i")
 
 
+def argmax(df: DataFrame, value: str, index: str) -> DataFrame:
+    """(v, i) of the greatest value; ties to the least index."""
+    return df.agg(F.max(F.struct(F.col(value).alias("v"), (-F.col(index)).alias("i"))).alias("s")).select("s.v", (-F.col("s.i")).alias("i"))
+
+
 def global_minimum(df: DataFrame, value: str, row: str, column: str) -> DataFrame:
     """(value, row, column) of the least cell; ties to the first row, then column."""
     return df.agg(F.min(F.struct(value, row, column)).alias("s")).select("s.*")

@@ -13,6 +13,7 @@ from veclume.functions.vector import vsum
 
 EPS = 1e-6
 CLAMP = 4.0
+LEHMER = 2**31 - 1
 
 
 def curve(min_dist: float = 0.1, spread: float = 1.0) -> tuple[float, float]:
@@ -63,9 +64,21 @@ def negative_gradients(pairs: DataFrame, points: DataFrame, b: float, a: float,
 
 
 def negative_pairs(points: DataFrame, per_point: int, n: int, seed: int) -> DataFrame:
-    """(source, target): seeded targets by number; points must be numbered 0..n-1."""
+    """(source, target): seeded targets by number; points must be numbered 0..n-1.
+
+    Two steps of a Lehmer generator (modulus 2^31 - 1) over source and draw, so
+    that any SQL gives the same targets.
+    """
     k = F.explode(F.sequence(F.lit(0), F.lit(per_point - 1)))
-    return points.select(F.col("id").alias("source"), k.alias("k")).select("source", F.pmod(F.xxhash64("source", "k", F.lit(seed)), F.lit(n)).alias("target"))
+    draws = points.select(F.col("id").alias("source"), k.alias("k"))
+    one = F.pmod(F.pmod(F.col("source") + seed, F.lit(LEHMER)) * 48271, F.lit(LEHMER))
+    two = F.pmod((one + F.col("k") * 16807 + 1) * 69621, F.lit(LEHMER))
+    return draws.select("source", F.pmod(two, F.lit(n)).cast("long").alias("target"))
+
+
+def sort_edges(edges: DataFrame) -> DataFrame:
+    """Edges dealt out by source and sorted by it in each partition, as a segment sum by source wants them."""
+    return edges.repartition("source").sortWithinPartitions("source", "target")
 
 
 def apply(points: DataFrame, *gradients: DataFrame) -> DataFrame:
