@@ -53,11 +53,23 @@ def test_log(spark, tmp_path):
     log.append(make([("remove", 2), ("metadata", 1)]), 4)
     state = [tuple(r) for r in log.replay().collect()]
     assert state == [(1, [3.0], {"n": "1"})] == [tuple(r) for r in log.replay().collect()]
-    log.truncate(3, f"file://{tmp_path}/cut")
-    assert sorted(r.id for r in ChangeLog(spark, f"file://{tmp_path}/cut").replay().collect()) == [1, 2]
-    log.compact(3, f"file://{tmp_path}/late")
-    assert ChangeLog(spark, f"file://{tmp_path}/late").statistics().first().entries == 2
-    spark.read.parquet(log.path).withColumn("vec", F.array(F.lit(9.0).cast("float"))).write.parquet(f"file://{tmp_path}/bad")
+    assert (len(log.segments()), log.statistics().first().segments) == (2, 2) and log.statistics().first().bytes > 0
+    log._read().withColumn("vec", F.array(F.lit(9.0).cast("float"))).write.parquet(f"file://{tmp_path}/bad/segment-000000-x")
+    log.truncate(3)
+    assert sorted(r.id for r in log.replay().collect()) == [1, 2] and len(log.segments()) == 1
+    log.append(make([("remove", 2), ("metadata", 1)]), 4)
+    log.checkpoint(6)
+    log.compact(3)
+    assert tuple(log.statistics().first())[:4] == (3, 6, 1, 1)
+    late = ChangeLog(spark, f"file://{tmp_path}/late", "batch", 3)
+    for k in range(5):
+        late.append(make([("insert", k)]), k)
+    assert len(late.segments()) == 1 and late.statistics().first().entries == 3
+    late.flush()
+    for k in range(5, 60):
+        late.append(make([("insert", k)]), k)
+    late.flush()
+    assert late.statistics().first().entries == 60 and len(late.segments()) <= 11
     with pytest.raises(Exception, match="checksum"):
         ChangeLog(spark, f"file://{tmp_path}/bad").replay().collect()
 
@@ -71,6 +83,12 @@ def test_vector_files(spark, tmp_path, kind):
     assert [r.id for r in vecfile.read(spark, f"{tmp_path}/v.bin", 5, 4).orderBy("id").collect()] == [5, 6, 7, 8]
     assert vecfile.read_binary(spark, f"{tmp_path}/v.bin").count() == 25
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    for again in range(2):  # written over the first time's files
+        vecfile.write(df.repartition(3).unionByName(df.where("vec_id < 0")), f"file://{tmp_path}/out", kind)
+        got = vecfile.read(spark, f"{tmp_path}/out").orderBy("id").collect()
+        assert [r.id for r in got] == list(range(25)) and np.allclose([r.vec for r in got], x, rtol=1e-3)
+    assert [r.id for r in vecfile.read(spark, f"{tmp_path}/out", 9, 8).orderBy("id").collect()] == list(range(9, 17))
+    assert vecfile.read_binary(spark, f"file://{tmp_path}/out/*.vec").count() == 25 and not [f for f in (tmp_path / "out").iterdir() if f.name.startswith("_part")]
     vecfile.write_parts(df, f"{tmp_path}/parts", kind)
     assert sum(r.rows for r in spark.read.parquet(f"{tmp_path}/parts").collect()) == 25
 

@@ -12,11 +12,10 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from veclume.functions import quant as Q
 from veclume.functions import vector as V
-from veclume.operators import batch, graph, hist, kmeans, learned, pq, quantstats, stats, text, topk, umap
+from veclume.operators import batch, graph, hist, kmeans, quantstats, stats, text, topk, umap
 from veclume.operators import matrix as M
 from veclume.plans.blocked import knn, within
 from veclume.storage import kept
@@ -43,10 +42,13 @@ def query(name: str, sql: str | None = None):
 
 
 def queries() -> dict[str, Query]:
+    from veclume import registry_index, registry_models, registry_search  # noqa: F401  they add theirs
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)
 
 
@@ -223,15 +225,14 @@ CENTROID_SQL = f"SELECT label, list(m ORDER BY i) AS c FROM ({_means()}) GROUP B
 
 
 def label_centroids(spark: SparkSession, sf_dir: str) -> tuple[list[int], np.ndarray]:
-    rows = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("i", "v")).groupBy("label", "i").agg(F.avg(F.col("v").cast("double")).alias("m")).orderBy("label", "i").collect()
+    rows = kmeans.means(table(spark, sf_dir, "embeddings"), "label").select("label", "i", F.col("mean").alias("m")).orderBy("label", "i").collect()  # a row a list and dimension
     labels = sorted({r.label for r in rows})
     return labels, np.array([r.m for r in rows]).reshape(len(labels), -1)
 
 
 @query("centroid_means_by_label", f"SELECT label, i - 1 AS i, round(m, 4) AS m FROM ({_means()})")
 def _(spark, d):
-    e = table(spark, d, "embeddings")
-    return e.select("label", F.posexplode("embedding").alias("i", "v")).groupBy("label", "i").agg(F.round(F.avg(F.col("v").cast("double")), 4).alias("m")).select("label", F.col("i").cast("long").alias("i"), "m")
+    return kmeans.means(table(spark, d, "embeddings"), "label").select("label", F.col("i").cast("long").alias("i"), F.round("mean", 4).alias("m"))
 
 
 ASSIGN_SQL = f"SELECT vec_id, label AS own, c.label AS cluster, list_sum(list_transform(range(1, 65), lambda i: (e.embedding[i]::DOUBLE - c.c[i]) ** 2)) AS d FROM embeddings e, ({CENTROID_SQL}) c".replace("label AS own", "e.label AS own")
@@ -468,8 +469,9 @@ GLOBAL_SQL = "(SELECT vec_id, label, list_transform(embedding::DOUBLE[], lambda
 def _(spark, d):
     e, q = vectors(spark, d)
     coded, scale, zero = Q.global_codes(e, "embedding")
-    decoded = coded.select("vec_id", "label", Q.dequantize("q", F.lit(scale), F.lit(zero)).alias("embedding"))
-    return rounded(knn(decoded, q, 10), 3, "distance")
+    _, c = label_centroids(spark, d)
+    listed = kmeans.assign(coded, c).drop("distance")
+    return rounded(kmeans.ivf_search(listed, c, q, 10, len(c), vec="q", query_vec="embedding", codes=(scale, zero)), 3, "distance")
 
 
 @query("per_channel_scales", "SELECT (i - 1)::INT AS i, round(greatest(max(abs(embedding[i]::DOUBLE)) / 127, 1e-8), 6) AS scale FROM (SELECT embedding, unnest(range(1, 65)) AS i FROM embeddings) GROUP BY 1")
@@ -477,48 +479,32 @@ def _(spark, d):
     return rounded(Q.per_channel_scales(table(spark, d, "embeddings"), "embedding"), 6, "scale")
 
 
-@query("quant_compare")
-def _(spark, d):
-    methods = {f"int{b}_{n}": Q.decode(f("embedding", b)) for b in (4, 8) for n, f in (("sym", Q.symmetric), ("asym", Q.asymmetric))}
-    return quantstats.compare(table(spark, d, "embeddings"), "embedding", methods)
+def errors_sql(bits: int, symmetric: bool) -> str:
+    """(vec_id, mse, psnr) of codes."""
+    low, high = -(1 << (bits - 1)), (1 << (bits - 1)) - 1
+    scale = f"greatest(list_max(list_transform(v, lambda x: abs(x))) / {high}, 1e-8)" if symmetric else f"greatest((list_max(v) - list_min(v)) / {(1 << bits) - 1}, 1e-8)"
+    zero = "0" if symmetric else f"{low} - round_even(list_min(v) / s, 0)"
+    decoded = f"(greatest({low}, least({high}, round_even(x / s, 0) + z)) - z) * s"
+    return f"SELECT vec_id, mse, CASE WHEN mse > 0 THEN 20 * log10(m / sqrt(mse)) ELSE 'inf'::DOUBLE END AS psnr FROM (SELECT vec_id, list_max(list_transform(v, lambda x: abs(x))) AS m, list_sum(list_transform(v, lambda x: (x - {decoded}) ** 2)) / len(v) AS mse FROM (SELECT *, {zero} AS z FROM (SELECT vec_id, v, {scale} AS s FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings))))"
 
 
-SLIDING_SQL = "SELECT event_id, round(avg(value) OVER w, 8) AS sliding_mean, count(*) OVER w >= 10 AND list_sum(list_slice(list(value) OVER w, -5, -1)) / 5 > list_sum(list_slice(list(value) OVER w, 1, 5)) / 5 AS degrading FROM events WHERE value IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)"
-add("sliding_quality", lambda s, d: rounded(quantstats.sliding(table(s, d, "events").where("value is not null"), "event_id", "value", "user_id").select("event_id", "sliding_mean", "degrading"), 8, "sliding_mean"), SLIDING_SQL)
+FIGURES = "count(*) AS n, round(avg(mse), 8) AS mean_mse, round(min(mse), 8) AS min_mse, round(max(mse), 8) AS max_mse, round(stddev_pop(mse), 8) AS sd_mse, round(quantile_disc(mse, 0.95), 8) AS p95_mse, round(avg(psnr), 3) AS mean_psnr, " + ", ".join(f"count(*) FILTER ({CLASS_SQL} = '{c}') AS n_{c}" for c in ("excellent", "good", "acceptable", "poor"))
 
 
-@query("pq_adc", search_sql("sqrt(list_sum(list_transform(range(0, 8), lambda m: list_sum(list_transform(range(1, 9), lambda i: (va[m * 8 + i] - book[codes[m + 1]][m * 8 + i]) ** 2)))))").replace("FROM embeddings q, embeddings b WHERE", "FROM embeddings q, coded b WHERE").replace("b.label AS label", "b.codes AS codes, b.book AS book").replace("SELECT query_id, row_number()", "WITH book AS (SELECT list(embedding::DOUBLE[] ORDER BY vec_id) AS book FROM embeddings WHERE vec_id < 16), coded AS (SELECT vec_id, embedding, book, list_transform(range(0, 8), lambda m: list_position(list_transform(book, lambda c: list_sum(list_transform(range(1, 9), lambda i: (embedding[m * 8 + i]::DOUBLE - c[m * 8 + i]) ** 2))), list_min(list_transform(book, lambda c: list_sum(list_transform(range(1, 9), lambda i: (embedding[m * 8 + i]::DOUBLE - c[m * 8 + i]) ** 2)))))) AS codes FROM embeddings, book) SELECT query_id, row_number()", 1))
+@query("quant_compare", " UNION ALL ".join(f"SELECT 'int{b}_{n}' AS method, {FIGURES} FROM ({errors_sql(b, n == 'sym')})" for b in (4, 8) for n in ("sym", "asym")))
 def _(spark, d):
-    e, q = vectors(spark, d)
-    first = e.where("vec_id < 16").orderBy("vec_id").select("embedding").collect()
-    book = np.array([r[0] for r in first], float).reshape(16, 8, 8).transpose(1, 0, 2)
-    return rounded(pq.search(pq.encode(e, book), book, q, 10), 4, "distance")
+    methods = {f"int{b}_{n}": Q.decode(f("embedding", b)) for b in (4, 8) for n, f in (("sym", Q.symmetric), ("asym", Q.asymmetric))}
+    out = quantstats.compare(table(spark, d, "embeddings"), "embedding", methods)
+    return rounded(rounded(out, 8, "mean_mse", "min_mse", "max_mse", "sd_mse", "p95_mse"), 3, "mean_psnr")
 
 
-@query("pq_train")
-def _(spark, d):
-    e, q = vectors(spark, d)
-    book = pq.train(e, 8, 32, 8)
-    return pq.search(pq.encode(e, book), book, q, 10)
+SLIDING_SQL = "SELECT event_id, round(avg(value) OVER w, 8) AS sliding_mean, count(*) OVER w >= 10 AND list_sum(list_slice(list(value) OVER w, -5, -1)) / 5 > list_sum(list_slice(list(value) OVER w, 1, 5)) / 5 AS degrading FROM events WHERE value IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)"
+add("sliding_quality", lambda s, d: rounded(quantstats.sliding(table(s, d, "events").where("value is not null"), "event_id", "value", "user_id").select("event_id", "sliding_mean", "degrading"), 8, "sliding_mean"), SLIDING_SQL)
 
 
 # -- clustering, text, graphs, layouts ----------------------------------------------------
 
 
-@query("kmeans_fit")
-def _(spark, d):
-    e = vectors(spark, d)[0].select("vec_id", "embedding")
-    return kmeans.assign(e, kmeans.fit(e, 10, 15, seed=1).centroids).select("vec_id", "cluster_id", "distance")
-
-
-@query("ivf_search")
-def _(spark, d):
-    e, q = vectors(spark, d)
-    n = e.count()
-    model = kmeans.fit(e, kmeans.recommended_nlist(n), 10, seed=1)
-    return kmeans.ivf_search(kmeans.assign(e, model.centroids), model.centroids, q, 10, kmeans.recommended_nprobe(len(model.centroids), 0.95))
-
-
 TF_SQL = "SELECT lang AS cluster, term, count(*)::DOUBLE AS tf FROM (SELECT lang, unnest(regexp_extract_all(lower(text), '[a-zà-ÿß]+')) AS term FROM documents WHERE lang IS NOT NULL) GROUP BY 1, 2"
 SCORE_SQL = f"WITH tf AS ({TF_SQL}), c AS (SELECT term, sum(tf) AS ctf FROM tf GROUP BY 1), a AS (SELECT sum(tf) / count(DISTINCT cluster) AS avg FROM tf) SELECT cluster, term, tf, tf * ln(1 + avg / greatest(ctf, 1)) AS score FROM tf JOIN c USING (term), a"
 add("ctfidf", lambda s, d: rounded(text.ctfidf(text.term_frequencies(table(s, d, "documents"), "lang")).select("cluster", "term", "tf", "score"), 4, "score"), f"SELECT cluster, term, tf, round(score, 4) AS score FROM ({SCORE_SQL})")
@@ -543,22 +529,32 @@ def _(spark, d):
     return rounded(graph.pair_reachability(own, e, graph.core_distances(e, 5, queries=q)), 4, "d")
 
 
-@query("boruvka_mst")
-def _(spark, d):
-    e = vectors(spark, d)[0]
-    return graph.minimum_spanning_tree(e, graph.core_distances(e, 5))
-
-
 def _layout(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Points: the first two numbers of each vector; edges: id to id + 1 and id + 7, weight 1 and 0.5."""
-    e = table(spark, d, "embeddings")
-    points = e.select(F.col("vec_id").alias("id"), F.slice("embedding", 1, 2).cast("array<double>").alias("y"))
+    """Points: a quarter of the sums of both halves of each vector; edges: id to id + 1 and id + 7, weight 1 and 0.5."""
+    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    points = e.select(F.col("vec_id").alias("id"), F.array(V.vsum(F.slice("v", 1, DIM // 2)) * 0.25, V.vsum(F.slice("v", DIM // 2 + 1, DIM // 2)) * 0.25).alias("y"))
     step = F.explode(F.array(F.struct(F.lit(1).alias("s"), F.lit(1.0).alias("weight")), F.struct(F.lit(7).alias("s"), F.lit(0.5).alias("weight"))))
     edges = points.select(F.col("id").alias("source"), step.alias("x")).select("source", (F.col("source") + F.col("x.s")).alias("target"), F.col("x.weight").alias("weight"))
     return points, edges
 
 
-LAYOUT_SQL = "SELECT a.vec_id AS source, b.vec_id AS target, w.weight AS weight, a.embedding[1]::DOUBLE AS x1, a.embedding[2]::DOUBLE AS x2, b.embedding[1]::DOUBLE AS y1, b.embedding[2]::DOUBLE AS y2 FROM embeddings a JOIN (VALUES (1, 1.0::DOUBLE), (7, 0.5::DOUBLE)) w(s, weight) ON true JOIN embeddings b ON b.vec_id = a.vec_id + w.s"
+POINTS_SQL = "SELECT vec_id AS id, list_sum(list_slice(embedding::DOUBLE[], 1, 32)) * 0.25 AS y1, list_sum(list_slice(embedding::DOUBLE[], 33, 64)) * 0.25 AS y2 FROM embeddings"
+LAYOUT_SQL = f"SELECT a.id AS source, b.id AS target, w.weight AS weight, a.y1 AS x1, a.y2 AS x2, b.y1 AS y1, b.y2 AS y2 FROM ({POINTS_SQL}) a JOIN (VALUES (1, 1.0::DOUBLE), (7, 0.5::DOUBLE)) w(s, weight) ON true JOIN ({POINTS_SQL}) b ON b.id = a.id + w.s"
+PULL_SQL = "greatest(-4, least(4, -2 * 1.5 * 0.9 * d2 ** (0.9 - 1)::DOUBLE / (1 + 1.5 * d2 ** 0.9::DOUBLE) * weight * {rate} * ({a} - {b})))"
+PULLED_SQL = f"SELECT *, greatest((x1 - y1) ** 2 + (x2 - y2) ** 2, 1e-6) AS d2 FROM ({LAYOUT_SQL})"
+
+
+def negative_sql(seed: int, draws: int = 5) -> str:
+    """(source, target) and their places, by the generator of negative_pairs."""
+    one = f"((id + {seed}) % 2147483647 * 48271) % 2147483647"
+    target = f"((({one} + k * 16807 + 1) * 69621) % 2147483647) % (SELECT count(*) FROM embeddings)"
+    return f"SELECT *, (x1 - y1) ** 2 + (x2 - y2) ** 2 AS d2 FROM (SELECT s.id AS source, t.id AS target, s.y1 AS x1, s.y2 AS x2, t.y1 AS y1, t.y2 AS y2 FROM (SELECT id, y1, y2, {target} AS target FROM ({POINTS_SQL}), (SELECT unnest(range(0, {draws})) AS k)) s JOIN ({POINTS_SQL}) t ON t.id = s.target WHERE s.id <> t.id)"
+
+
+PUSH_SQL = "greatest(-4, least(4, 2 * 0.9 / ((1e-6 + d2) * (1 + 1.5 * d2 ** 0.9::DOUBLE)) * {rate} * ({a} - {b})))"
+MOVES_SQL = " UNION ALL ".join(
+    [f"SELECT source AS id, {PULL_SQL.format(rate=0.5, a='x1', b='y1')} AS g1, {PULL_SQL.format(rate=0.5, a='x2', b='y2')} AS g2 FROM ({PULLED_SQL})", f"SELECT target AS id, -{PULL_SQL.format(rate=0.5, a='x1', b='y1')} AS g1, -{PULL_SQL.format(rate=0.5, a='x2', b='y2')} AS g2 FROM ({PULLED_SQL})", f"SELECT source AS id, {PUSH_SQL.format(rate=0.5, a='x1', b='y1')} AS g1, {PUSH_SQL.format(rate=0.5, a='x2', b='y2')} AS g2 FROM ({negative_sql(0)})"]
+)
 
 
 @query("umap_edge_gradient", f"SELECT source, target, round(greatest(-4, least(4, f * (x1 - y1))), 4) AS g1, round(greatest(-4, least(4, f * (x2 - y2))), 4) AS g2 FROM (SELECT *, -2 * 1.5 * 0.9 * d2 ** (0.9 - 1)::DOUBLE / (1 + 1.5 * d2 ** 0.9::DOUBLE) * weight AS f FROM (SELECT *, greatest((x1 - y1) ** 2 + (x2 - y2) ** 2, 1e-6) AS d2 FROM ({LAYOUT_SQL})))")
@@ -574,57 +570,76 @@ def _(spark, d):
     return rounded(umap.loss(edges, points, 1.5, 0.9), 3, "loss")
 
 
-@query("umap_epoch")
+@query("umap_epoch", f"SELECT p.id, round(p.y1 + coalesce(m.g1, 0), 4) AS y1, round(p.y2 + coalesce(m.g2, 0), 4) AS y2 FROM ({POINTS_SQL}) p LEFT JOIN (SELECT id, sum(g1) AS g1, sum(g2) AS g2 FROM ({MOVES_SQL}) GROUP BY 1) m ON m.id = p.id")
 def _(spark, d):
     points, edges = _layout(spark, d)
-    return umap.epoch(points, edges, points.count(), 0.5, 1.5, 0.9).select("id", F.element_at("y", 1).alias("y1"), F.element_at("y", 2).alias("y2"))
+    moved = umap.epoch(points, edges, points.count(), 0.5, 1.5, 0.9)
+    return moved.select("id", F.round(F.element_at("y", 1), 4).alias("y1"), F.round(F.element_at("y", 2), 4).alias("y2"))
 
 
-@query("umap_negative_gradient")
+@query("umap_negative_gradient", f"SELECT source, target, round({PUSH_SQL.format(rate=1.0, a='x1', b='y1')}, 4) AS g1 FROM ({negative_sql(3)})")
 def _(spark, d):
     points, _ = _layout(spark, d)
     g = umap.negative_gradients(umap.negative_pairs(points, 5, points.count(), 3), points, 0.9, 1.5, 1.0)
     return g.select("source", "target", F.round(F.element_at("g", 1), 4).alias("g1"))
 
 
-# -- learned projections, matrices ------------------------------------------------------------
-
-
-def _projected(spark: SparkSession, d: str) -> DataFrame:
-    p = learned.project(pairs(spark, d).select("id_a", "va", "vb"), learned.xavier(16, DIM, 5), "va", "pa")
-    return learned.project(p, learned.xavier(16, DIM, 5), "vb", "pb")
-
-
-add("learned_l2", lambda s, d: _projected(s, d).select("id_a", learned.learned_distance("pa", "pb").alias("d")))
-add("learned_cosine", lambda s, d: _projected(s, d).select("id_a", learned.learned_distance("pa", "pb", "cosine").alias("d")))
-add("attention_similarity", lambda s, d: _projected(s, d).select("id_a", learned.attention("pa", "pb", 2, 8).alias("score")))
-
-
-@query("neural_codes")
-def _(spark, d):
-    e = vectors(spark, d)[0].select("vec_id", "embedding")
-    coded = learned.neural_encode(e, learned.xavier(32, DIM, 2), np.zeros(32))
-    return learned.neural_decode(coded, learned.xavier(DIM, 32, 3), np.zeros(DIM)).select("vec_id", F.col("code.scale").alias("scale"), F.element_at("decoded", 1).alias("first"))
+# -- matrices ------------------------------------------------------------------------------
 
 
 def _m(spark: SparkSession, d: str) -> DataFrame:
-    return M.from_vectors(table(spark, d, "embeddings").where("vec_id < 100"), "vec_id", "embedding")  # a fixed operand of a product
+    """All vectors as a matrix, a row each."""
+    return M.from_vectors(table(spark, d, "embeddings"), "vec_id", "embedding")
+
+
+def _w(spark: SparkSession, d: str) -> DataFrame:
+    """Dimension x label: the mean vectors of all labels as columns."""
+    return kmeans.means(table(spark, d, "embeddings"), "label").select(F.col("i").cast("int").alias("i"), F.col("label").cast("int").alias("j"), F.col("mean").alias("v"))
+
+
+def _x(spark: SparkSession, d: str) -> DataFrame:
+    """The mean of all vectors."""
+    return _m(spark, d).groupBy("j").agg(F.avg("v").alias("v"))
+
+
+def _repeated(batches: DataFrame, w: DataFrame) -> DataFrame:
+    """The same right operand for each batch: (batch, i, j, v)."""
+    keys = batches.select("batch", F.col("j").alias("i")).distinct()
+    return keys.join(w, "i").select("batch", "i", "j", "v")
+
+
+M_SQL = "SELECT vec_id::INT AS i, (k - 1)::INT AS j, embedding[k]::DOUBLE AS v FROM (SELECT *, unnest(range(1, 65)) AS k FROM embeddings)"
+W_SQL = f"SELECT (i - 1)::INT AS i, label::INT AS j, m AS v FROM ({_means()})"
+X_SQL = f"SELECT j, avg(v) AS v FROM ({M_SQL}) GROUP BY 1"
+add("gemm", lambda s, d: rounded(M.multiply(_m(s, d), _w(s, d), 0.5), 3, "v"), f"SELECT a.i, b.j, round(0.5 * sum(a.v * b.v), 3) AS v FROM ({M_SQL}) a JOIN ({W_SQL}) b ON a.j = b.i GROUP BY 1, 2")
+add("gemm_transposed", lambda s, d: rounded(M.multiply(_m(s, d), _m(s, d), transpose_a=True, beta=2.0, c=_w(s, d)), 2, "v"), f"SELECT coalesce(p.i, c.i) AS i, coalesce(p.j, c.j) AS j, round(coalesce(p.v, 0) + 2 * coalesce(c.v, 0), 2) AS v FROM (SELECT a.j AS i, b.j, sum(a.v * b.v) AS v FROM ({M_SQL}) a JOIN ({M_SQL}) b ON a.i = b.i GROUP BY 1, 2) p FULL JOIN ({W_SQL}) c ON p.i = c.i AND p.j = c.j")
+add("gemm_transposed_b", lambda s, d: rounded(M.multiply(_m(s, d), M.transpose(_w(s, d)), transpose_b=True), 3, "v"), f"SELECT a.i, b.j, round(sum(a.v * b.v), 3) AS v FROM ({M_SQL}) a JOIN ({W_SQL}) b ON a.j = b.i GROUP BY 1, 2")
+add("gemm_fused", lambda s, d: rounded(M.fused(_m(s, d), _w(s, d), M.row(_w(s, d), 1), "relu"), 3, "v"), f"SELECT a.i, b.j, round(greatest(0, sum(a.v * b.v) + any_value(w.v)), 3) AS v FROM ({M_SQL}) a JOIN ({W_SQL}) b ON a.j = b.i JOIN ({W_SQL}) w ON w.i = 1 AND w.j = b.j GROUP BY 1, 2")
+add("gemm_batch", lambda s, d: rounded(M.multiply(*[_m(s, d).withColumn("batch", (F.col("i") % 4)) for _ in (0, 1)], transpose_a=True, batch=["batch"]), 2, "v"), f"SELECT a.i % 4 AS batch, a.j AS i, b.j, round(sum(a.v * b.v), 2) AS v FROM ({M_SQL}) a JOIN ({M_SQL}) b ON a.i = b.i GROUP BY 1, 2, 3")
+add("gemm_strided", lambda s, d: rounded(M.multiply(M.strided(_m(s, d), 8, 10), _repeated(M.strided(_m(s, d), 8, 10), _w(s, d)), batch=["batch"]), 3, "v"), f"SELECT a.i // 10 AS batch, a.i % 10 AS i, b.j, round(sum(a.v * b.v), 3) AS v FROM ({M_SQL}) a JOIN ({W_SQL}) b ON a.j = b.i WHERE a.i % 10 < 8 GROUP BY 1, 2, 3")
+add("gemv", lambda s, d: rounded(M.multiply_vector(_m(s, d), _x(s, d)), 4, "v"), f"SELECT a.i, round(sum(a.v * b.v), 4) AS v FROM ({M_SQL}) a JOIN ({X_SQL}) b ON a.j = b.j GROUP BY 1")
+add("gemv_normalized", lambda s, d: rounded(M.multiply_vector(_m(s, d), _x(s, d), normalize=True), 6, "v"), f"SELECT i, round(v / sqrt(sum(v * v) OVER ()), 6) AS v FROM (SELECT a.i, sum(a.v * b.v) AS v FROM ({M_SQL}) a JOIN ({X_SQL}) b ON a.j = b.j GROUP BY 1)")
+add("gemv_batch", lambda s, d: rounded(M.multiply_vector(_m(s, d).withColumn("batch", F.col("i") % 4), _m(s, d).groupBy((F.col("i") % 4).alias("batch"), "j").agg(F.avg("v").alias("v")), ["batch"], True), 6, "v"), f"SELECT batch, i, round(v / sqrt(sum(v * v) OVER (PARTITION BY batch)), 6) AS v FROM (SELECT a.i % 4 AS batch, a.i, sum(a.v * b.v) AS v FROM ({M_SQL}) a JOIN (SELECT i % 4 AS batch, j, avg(v) AS v FROM ({M_SQL}) GROUP BY 1, 2) b ON a.j = b.j AND a.i % 4 = b.batch GROUP BY 1, 2)")
+add("matrix_row_cell", lambda s, d: M.row(_w(s, d), 5).select(F.lit(5).alias("i"), "j", F.round("v", 5).alias("v")).unionByName(M.cell(_w(s, d), 9, 2).select(F.lit(9).alias("i"), F.lit(2).alias("j"), F.round("v", 5).alias("v"))), f"SELECT i, j, round(v, 5) AS v FROM ({W_SQL}) WHERE i = 5 OR i = 9 AND j = 2")
+add("matrix_rows", lambda s, d: M.to_rows(_w(s, d)).select("i", F.size("row").cast("long").alias("n"), F.round(F.element_at("row", 3), 5).alias("third")), f"SELECT i, count(*) AS n, round(max(CASE WHEN j = 2 THEN v END), 5) AS third FROM ({W_SQL}) GROUP BY 1")
+add("zeros", lambda s, d: M.zeros(s, 3, 5), "SELECT i::INT AS i, j::INT AS j, 0::DOUBLE AS v FROM (SELECT unnest(range(0, 3)) AS i), (SELECT unnest(range(0, 5)) AS j)")
+add("transpose", lambda s, d: M.transpose(_m(s, d)).select("i", "j", F.round("v", 5).alias("v")), f"SELECT j AS i, i AS j, round(v, 5) AS v FROM ({M_SQL})")
+add("identity", lambda s, d: M.identity(s, 8), "SELECT i::INT AS i, j::INT AS j, (i = j)::INT::DOUBLE AS v FROM (SELECT unnest(range(0, 8)) AS i), (SELECT unnest(range(0, 8)) AS j)")
 
 
-M_SQL = "SELECT vec_id::INT AS i, (k - 1)::INT AS j, embedding[k]::DOUBLE AS v FROM (SELECT *, unnest(range(1, 65)) AS k FROM embeddings WHERE vec_id < 100)"
-add("gemm", lambda s, d: rounded(M.multiply(M.from_vectors(table(s, d, "embeddings"), "vec_id", "embedding"), _m(s, d).where("i < 64"), 0.5), 3, "v"), f"SELECT a.i, b.j, round(0.5 * sum(a.v * b.v), 3) AS v FROM ({M_SQL.replace('WHERE vec_id < 100', '')}) a JOIN ({M_SQL}) b ON a.j = b.i WHERE b.i < 64 GROUP BY 1, 2")
-add("gemm_transposed", lambda s, d: rounded(M.multiply(_m(s, d), _m(s, d), transpose_b=True, beta=2.0, c=_m(s, d).where("i < 64")), 3, "v"), f"SELECT coalesce(p.i, c.i) AS i, coalesce(p.j, c.j) AS j, round(coalesce(p.v, 0) + 2 * coalesce(c.v, 0), 3) AS v FROM (SELECT a.i, b.i AS j, sum(a.v * b.v) AS v FROM ({M_SQL}) a JOIN ({M_SQL}) b ON a.j = b.j GROUP BY 1, 2) p FULL JOIN (SELECT * FROM ({M_SQL}) WHERE i < 64) c ON p.i = c.i AND p.j = c.j")
-add("gemm_fused", lambda s, d: rounded(M.fused(_m(s, d), _m(s, d).where("i < 64"), _m(s, d).where("i = 1"), "relu"), 3, "v"), f"SELECT a.i, b.j, round(greatest(0, sum(a.v * b.v) + any_value(w.v)), 3) AS v FROM ({M_SQL}) a JOIN ({M_SQL}) b ON a.j = b.i JOIN ({M_SQL}) w ON w.i = 1 AND w.j = b.j WHERE b.i < 64 GROUP BY 1, 2")
-add("gemv", lambda s, d: rounded(M.multiply_vector(M.from_vectors(table(s, d, "embeddings"), "vec_id", "embedding"), _m(s, d).where("i = 0").select("j", "v")), 4, "v"), f"SELECT a.i, round(sum(a.v * b.v), 4) AS v FROM ({M_SQL.replace('WHERE vec_id < 100', '')}) a JOIN (SELECT * FROM ({M_SQL}) WHERE i = 0) b ON a.j = b.j GROUP BY 1")
-add("transpose", lambda s, d: M.transpose(M.from_vectors(table(s, d, "embeddings"), "vec_id", "embedding")).select("i", "j", F.round("v", 5).alias("v")), f"SELECT j AS i, i AS j, round(v, 5) AS v FROM ({M_SQL.replace('WHERE vec_id < 100', '')})")
-add("identity", lambda s, d: M.identity(s, 8), "SELECT i::INT AS i, j::INT AS j, (i = j)::INT::DOUBLE AS v FROM (SELECT unnest(range(0, 8)) AS i), (SELECT unnest(range(0, 8)) AS j)")
+GRAM_SQL = f"SELECT list(r ORDER BY i) AS g FROM (SELECT i, list(v ORDER BY j) AS r FROM (SELECT a.j AS i, b.j, sum(a.v * b.v) AS v FROM ({M_SQL}) a JOIN ({M_SQL}) b ON a.i = b.i GROUP BY 1, 2) GROUP BY 1)"
+STEPS = 30
+POWER_SQL = f"""WITH RECURSIVE g AS MATERIALIZED ({GRAM_SQL}),
+ p AS (SELECT 0 AS step, list_transform(range(0, {DIM}), lambda i: 1 / sqrt({DIM})) AS x, 0::DOUBLE AS value
+  UNION ALL SELECT step + 1, list_transform(y, lambda v: v / sqrt(list_dot_product(y, y))), list_dot_product(x, y) FROM (SELECT step, x, list_transform(g.g, lambda r: list_dot_product(r, x)) AS y FROM p, g) WHERE step < {STEPS})
+SELECT k::INT AS j, round(value, 2) AS eigenvalue, round(x[k + 1], 5) AS v FROM p, (SELECT unnest(range(0, {DIM})) AS k) WHERE step = {STEPS}"""
 
 
-@query("power_iteration")
+@query("power_iteration", POWER_SQL)
 def _(spark, d):
     m = kept(M.gram(table(spark, d, "embeddings"), "embedding"), "gram")
-    value, vector = M.power_iteration(m, DIM, 30, 1e-6)
-    return spark.createDataFrame([(k, value, v) for k, v in enumerate(vector)], "j int, eigenvalue double, v double")
+    value, vector = M.power_iteration(m, DIM, STEPS, 0.0)
+    return spark.createDataFrame([(k, round(value, 2), round(v, 5)) for k, v in enumerate(vector)], "j int, eigenvalue double, v double")
 
 
 # -- logs, index, events ---------------------------------------------------------------------
@@ -643,16 +658,9 @@ def _(spark, d):
     return replay(_log(spark, d)).select("id", F.round(F.element_at("vec", 1).cast("double"), 3).alias("v"), F.element_at("metadata", "type").alias("type"))
 
 
-@query("index_stats", f"SELECT count(*) AS vectors, count(*) * 256 AS bytes, (SELECT count(DISTINCT label) FROM embeddings) AS lists, (SELECT round(avg(n), 4) FROM (SELECT count(*) AS n FROM embeddings GROUP BY label)) AS mean_list, (SELECT round(stddev_pop(n), 4) FROM (SELECT count(*) AS n FROM embeddings GROUP BY label)) AS sd_list FROM embeddings")
-def _(spark, d):
-    sizes = table(spark, d, "embeddings").groupBy("label").agg(F.count("*").alias("n"), F.sum(F.size("embedding") * 4).alias("b"))
-    return sizes.agg(F.sum("n").alias("vectors"), F.sum("b").alias("bytes"), F.count("*").alias("lists"), F.round(F.avg("n"), 4).alias("mean_list"), F.round(F.stddev_pop("n"), 4).alias("sd_list"))
-
-
 @query("prefix_sum", "SELECT label, n, (sum(n) OVER (ORDER BY label) - n)::BIGINT AS first FROM (SELECT label, count(*) AS n FROM embeddings GROUP BY 1)")
 def _(spark, d):
-    sizes = table(spark, d, "embeddings").groupBy("label").agg(F.count("*").alias("n"))  # a row a list
-    return sizes.withColumn("first", F.sum("n").over(Window.orderBy("label")) - F.col("n"))
+    return stats.exclusive_sum(table(spark, d, "embeddings").groupBy("label").agg(F.count("*").alias("n")), "label", "n")
 
 
 @query("tumbling_windows", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY 1, 2")
@@ -662,7 +670,7 @@ def _(spark, d):
     return rounded(windowed(table(spark, d, "events"), "ts", "event_type", "value"), 3, "total")
 
 
-@query("session_windows")
+@query("session_windows", "SELECT min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, user_id, count(*) AS n FROM (SELECT user_id, ts, sum(s) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS s FROM events WHERE ts IS NOT NULL)) GROUP BY user_id, k")
 def _(spark, d):
     from veclume.streaming.topk import sessions
 
