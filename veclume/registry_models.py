@@ -142,14 +142,14 @@ def _(spark, d):
     return out.select("vec_id", F.round(Q.mse("embedding", "decoded"), 6).alias("mse"))
 
 
-#: Candidates of a query that are compared exactly: a share of the table, and at least so many.
-CANDIDATE_SHARE, LEAST_CANDIDATES = 0.1, 150
+#: Candidates of a query that are compared exactly, whatever the table.
+CANDIDATES = 100
 
 
 def _reranked(spark, d):
     e, q = vectors(spark, d)
-    book = pq.train(e, 16, 64, 8)
-    return pq.reranked(pq.encode(e, book), book, q, 10, max(LEAST_CANDIDATES, int(e.count() * CANDIDATE_SHARE)))
+    book = pq.train(e, 32, 64, 8)
+    return pq.reranked(pq.encode(e, book), book, q, 10, CANDIDATES)
 
 
 add("pq_search", _reranked)
