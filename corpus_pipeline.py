@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which ``run``
 writes to the shared folder and reads again as the next stage's docs. All but
-the last return the columns of documents. ORACLE_SQL is None: models, token ids
+the last return the columns of documents. Each first has the executors give back
+what the stages before left. ORACLE_SQL is None: models, token ids
 and packing have no SQL; tests compare each stage with a brute-force version.
 """
 
@@ -12,32 +13,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veclume.llm import jaccard, packing, secrets, suffix, toxicity
-from veclume.llm.scratch import Scratch
+from veclume.llm.scratch import Scratch, release
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score under the threshold."""
+    release(spark)
     return toxicity.filter_clean(docs, toxicity.fit_contract(docs, spark, sf_dir))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the least id."""
+    release(spark)
     return jaccard.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark window."""
+    release(spark)
     return suffix.filter_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets replaced; n_chars follows the text."""
+    release(spark)
     out = secrets.redact(docs, secrets.train(docs))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of packed sequences."""
+    release(spark)
     return packing.pack_instructions(docs)
 
 

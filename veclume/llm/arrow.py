@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 #: Rows of a batch at most; a bound on what short rows cost as Python objects.
 BATCH_ROWS = 10_000
 

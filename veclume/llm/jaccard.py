@@ -56,7 +56,7 @@ from pyspark.sql import types as T
 from veclume.llm.arrow import by_groups, over_arrow
 from veclume.llm.graph import connected_components
 from veclume.llm.rows import bit_table, in_table, without
-from veclume.llm.scratch import Scratch
+from veclume.llm.scratch import Scratch, release
 from veclume.llm.textnum import SPACED_WORDS, U64, blocks, mix, row_sets, words_of
 
 K = 5
@@ -439,7 +439,7 @@ def _candidates(docs: DataFrame, id_col: str, text_col: str, percent: int) -> Ca
     members = scratch.keep(members.select("key", "doc", "n", "hub.h", "hub.g", F.col("hub.m").alias("m")), "members")
     scratch.drop(each)
     scratch.drop(shared)
-    scratch.release()
+    release(docs.sparkSession)
     bits = profile.where("kind = 0 and a is not null and b > 0").select(F.col("a").alias("doc"), F.col("b").alias("n"), "bits")
 
     def tested(pairs: DataFrame) -> DataFrame:
@@ -450,7 +450,7 @@ def _candidates(docs: DataFrame, id_col: str, text_col: str, percent: int) -> Ca
         out = scratch.keep(_verify(possible, sets, percent), "tested")
         scratch.drop(sets)
         scratch.drop(possible)
-        scratch.release()
+        release(docs.sparkSession)
         return out
 
     return Candidates(scratch, profile, one, placed, members, tested)
@@ -491,7 +491,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     same = own.placed.join(both.select("doc"), "doc", "left_semi").select(F.col("rep").alias("a"), F.col("doc").alias("b"))
     links = scratch.keep(tried.where("linked").select("a", "b").unionByName(same.where("a <> b")).distinct(), "links")
     comp = scratch.keep(connected_components(links, scratch), "comp")
-    scratch.release()
+    release(docs.sparkSession)
 
     # the rest: pairs of a key whose components differ, and whose parities (folded) allow a link
     named = members.select("key", "doc", "n", "m").join(comp.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "n", "m", F.coalesce("component", "doc").alias("c"))

@@ -23,13 +23,29 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+def release(spark: SparkSession) -> None:
+    """Give back now what finished steps have left, not when garbage happens to be collected next.
+
+    The driver's collection lets Spark delete their shuffle files and broadcasts.
+    The executors' lets them return heap: each keeps what its largest step took,
+    beside the Python workers of the steps that follow.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).selectExpr("java_method('java.lang.System', 'gc')").write.format("noop").mode("overwrite").save()
+
+
 class Scratch:
-    """A folder of Parquet tables of one operator's run."""
+    """A folder of Parquet tables of one operator's run; what is left of it goes when the application ends."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.count = 0
+        fs, at = self._fs(self.root)
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
 
     def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
         """Write df and read it again."""
@@ -40,11 +56,6 @@ class Scratch:
         out._scratch_path = path
         return out
 
-    def release(self) -> None:
-        """Let Spark delete the shuffle files of finished steps now, not when the driver next happens to collect garbage."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-
     def _fs(self, path: str):
         jvm = self.spark.sparkContext._jvm
         at = jvm.org.apache.hadoop.fs.Path(path)

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 U64 = np.uint64
 #: Arrow's own pools keep freed pages; workers give them back.
 pa.set_memory_pool(pa.system_memory_pool())
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 19
 
 _MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=U64)
 #: Words longer than this are hashed by blake2b instead of eight bytes a step.
