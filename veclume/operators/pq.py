@@ -16,7 +16,6 @@ from veclume.operators.topk import topk
 from veclume.plans.blocked import matrix, query_blocks
 
 MAX_CODES = 256
-INIT_SAMPLE = 20_000
 
 
 def train(df: DataFrame, m: int, k: int = MAX_CODES, iterations: int = 25, tolerance: float = 1e-3, seed: int = 0, id_col: str = "vec_id", vec: str = "embedding", progress: Callable[[int, float], None] | None = None, init: np.ndarray | None = None) -> np.ndarray:
