@@ -13,7 +13,7 @@ each block and the end (u64), words (u64); all little-endian.
 ``write_ids`` stores files as rows of a Parquet table, which any store that
 Spark reaches can hold; ``read_ids`` reads it back. Documents come in ascending
 id order (numeric; null first; repeats by the hash of their text). Null text is
-empty text: the end id alone. Extra columns are not read. An empty table gives
+empty text: the end id alone. Ids are integers; others raise. Extra columns are not read. An empty table gives
 an empty table of files.
 """
 
@@ -27,16 +27,19 @@ import public_tokenizers
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veclume.llm.arrow import over_arrow
 from veclume.llm.scratch import Scratch
-from veclume.llm.textnum import U64, blocks
+from veclume.llm.textnum import BLOCK_BYTES, U64, blocks
 from veclume.llm.tokens import encoder, ids_crc32
 
 TOKENIZER = "byte_bpe_50k.json"
 BLOCK_IDS = 512
 #: Ids of a file, about.
 FILE_IDS = 500_000
+#: Bytes of text in a range of ids, about, and ranges at most.
+RANGE_BYTES, MOST_RANGES = 32 << 20, 20_000
 MAGIC, VERSION = 0x5438_4253, 1
 ZEROS, ESCAPE = 0, 1
 #: Fixed values of the code: ids a word and bits an id, by selector.
@@ -44,6 +47,46 @@ COUNTS = np.array([240, 1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 WIDTHS = np.array([0, 64, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 
 
+def _choice(v: np.ndarray, n_blocks: int, block_ids: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each place the most ids that a word from there on takes within its block, and its selector.
+
+    The greatest width in the window of each selector comes from those of two
+    shorter windows; what lies beyond a block has width 0.
+    """
+    n, most = len(v), int(COUNTS.max())
+    width = np.zeros((n_blocks, block_ids + most), np.uint8)
+    flat = np.zeros(n_blocks * block_ids, np.uint8)
+    flat[:n] = np.frexp(v.astype(np.float64))[1]
+    width[:, :block_ids] = flat.reshape(n_blocks, block_ids)
+    rest = np.full((n_blocks, 1), block_ids)
+    rest[-1] = n - (n_blocks - 1) * block_ids
+    left = np.maximum(rest - np.arange(block_ids)[None, :], 0).astype(np.uint16)
+    windows = {1: width}
+
+    def window(size: int) -> np.ndarray:
+        if size not in windows:
+            one = max(k for k in windows if 2 * k >= size) if any(2 * k >= size for k in windows) else max(windows)
+            if 2 * one < size:
+                window(2 * one)
+                return window(size)
+            wide = windows[one].copy()
+            np.maximum(wide[:, : -(size - one)], windows[one][:, size - one :], out=wide[:, : -(size - one)])
+            windows[size] = wide
+        return windows[size]
+
+    own = width[:, :block_ids]
+    take, sel = np.ones((n_blocks, block_ids), np.uint16), np.where(own <= WIDTHS[-1], len(COUNTS) - 1, ESCAPE).astype(np.uint8)
+    for s in [k for k in range(len(COUNTS) - 2, 1, -1)] + [ZEROS]:
+        fits = window(int(COUNTS[s]))[:, :block_ids] <= WIDTHS[s]
+        more = np.minimum(left, np.uint16(COUNTS[s]))
+        fits &= more > take
+        np.copyto(take, more, where=fits)
+        sel[fits] = s
+        for k in [k for k in windows if 2 * k < COUNTS[s] // 2]:
+            del windows[k]
+    return take.reshape(-1)[:n].astype(np.int64), sel.reshape(-1)[:n]
+
+
 def encode(ids: np.ndarray, block_ids: int = BLOCK_IDS) -> tuple[np.ndarray, np.ndarray, int]:
     """(words, first word of each block and the end, number of escapes)."""
     v = np.asarray(ids, U64)
@@ -51,15 +94,8 @@ def encode(ids: np.ndarray, block_ids: int = BLOCK_IDS) -> tuple[np.ndarray, np.
     n_blocks = -(-n // block_ids)
     if not n:
         return np.zeros(0, U64), np.zeros(1, U64), 0
-    at = np.arange(n)
-    end = np.minimum((at // block_ids + 1) * block_ids, n)
-    take, sel = np.ones(n, np.int64), np.full(n, ESCAPE)
-    for s in [k for k in range(len(COUNTS) - 1, 1, -1)] + [ZEROS]:
-        bad = np.where(v >> U64(WIDTHS[s]) != 0, at, n)
-        bad = np.minimum.accumulate(bad[::-1])[::-1]
-        stop = np.minimum(at + COUNTS[s], end)
-        fits = (bad >= stop) & (stop - at >= take) & ((sel == ESCAPE) | (stop - at > take))
-        take[fits], sel[fits] = (stop - at)[fits], s
+    end = np.minimum((np.arange(n) // block_ids + 1) * block_ids, n)
+    take, sel = _choice(v, n_blocks, block_ids)
     position = np.arange(0, n, block_ids)
     limit = end[position]
     taken = []
@@ -149,8 +185,11 @@ FILE_SCHEMA = "part long, seq long, ids_before long, n_ids long, n_docs long, nu
 
 
 def _ordered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(part, id, tie, packed text): part grows with the id; texts travel compressed."""
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """(part, id, tie, packed text): part grows with the id, a partition each; texts travel compressed."""
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        raise TypeError(f"ids must be integers; {id_col} is {docs.schema[id_col].dataType.simpleString()}")
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    n = min(max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // RANGE_BYTES), MOST_RANGES)
     levels = F.array(*[F.lit(k / n) for k in range(1, n)]) if n > 1 else F.array(F.lit(0.5))
     cuts = np.unique(np.array(docs.select(F.percentile_approx(F.col(id_col).cast("long"), levels, 10 * n)).first()[0] or [], np.int64))
 
@@ -165,7 +204,7 @@ def _ordered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(part[i:j].astype(np.int64)), doc.slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(packed, pa.binary())], ["part", "id", "tie", "packed"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("tie"), F.col(text_col).alias("text"))
-    return over_arrow(rows, run, "part long, id long, tie long, packed binary").repartition(n, "part").sortWithinPartitions("part", "id", "tie")
+    return over_arrow(rows, run, "part long, id long, tie long, packed binary").repartitionById(n, F.col("part").cast("int")).sortWithinPartitions("part", "id", "tie")
 
 
 def write_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, tokenizer: str | None = None, file_ids: int = FILE_IDS) -> None:
@@ -190,7 +229,7 @@ def write_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
             i = 0
             while i < len(rows):
                 j, size = i, 0
-                while j < len(rows) and rows[j][0] == rows[i][0] and (j == i or size < 1 << 20):
+                while j < len(rows) and rows[j][0] == rows[i][0] and (j == i or size < BLOCK_BYTES):
                     size += len(rows[j][2])
                     j += 1
                 if rows[i][0] != part:

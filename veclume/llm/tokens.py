@@ -24,7 +24,7 @@ from tokenizers import Tokenizer
 from veclume.llm.textnum import U64, span_hash
 
 #: Distinct pre-tokens kept in a worker; beyond it the cache starts anew.
-CACHE_KEPT = 400_000
+CACHE_KEPT = 700_000
 
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 #: White space beyond the separators that a Unicode \s takes.
@@ -38,7 +38,7 @@ def _byte_chars() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
-_BYTE_CHARS = _byte_chars()
+_BYTE_UNITS = np.array([ord(_byte_chars()[b]) for b in range(256)], "<u2")
 
 
 @lru_cache(1)
@@ -97,6 +97,62 @@ def pretokens(text: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begin)
 
 
+class Cache:
+    """Ids of pre-tokens by their 64-bit hash: a table with open addressing, filled to a half at most; 0 marks a free place."""
+
+    def __init__(self) -> None:
+        self.count, self.used = 0, 0
+        self.pool = np.zeros(1 << 18, np.uint32)
+        self._empty(1 << 16)
+
+    def _empty(self, places: int) -> None:
+        self.keys, self.at, self.size = np.zeros(places, U64), np.zeros(places, np.uint32), np.zeros(places, np.uint32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, or -1."""
+        mask = np.int64(len(self.keys) - 1)
+        keys = np.maximum(keys, U64(1))
+        place = keys.astype(np.int64) & mask
+        out = np.full(len(keys), -1)
+        open_ = np.arange(len(keys))
+        while open_.size:
+            at = place[open_]
+            there = self.keys[at]
+            same = there == keys[open_]
+            out[open_[same]] = at[same]
+            open_ = open_[~same & (there != 0)]
+            place[open_] = (place[open_] + 1) & mask
+        return out
+
+    def add(self, keys: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
+        """Distinct keys that are not there, with the ids of all of them one after another."""
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(len(self.pool), len(ids)), np.uint32)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        at = self.used + np.cumsum(size) - size
+        self.used += len(ids)
+        self.count += len(keys)
+        if 2 * self.count > len(self.keys):
+            held = np.flatnonzero(self.keys)
+            keys, at, size = np.concatenate([self.keys[held], keys]), np.concatenate([self.at[held], at]), np.concatenate([self.size[held], size])
+            self._empty(1 << (4 * self.count).bit_length() - 1)
+        self._put(np.maximum(keys, U64(1)), at.astype(np.uint32), size.astype(np.uint32))
+
+    def _put(self, keys: np.ndarray, at: np.ndarray, size: np.ndarray) -> None:
+        mask = np.int64(len(self.keys) - 1)
+        place = keys.astype(np.int64) & mask
+        open_ = np.arange(len(keys))
+        while open_.size:
+            free = open_[self.keys[place[open_]] == 0]
+            self.keys[place[free]] = keys[free]  # of several for a place one stays
+            won = free[self.keys[place[free]] == keys[free]]
+            self.at[place[won]], self.size[place[won]] = at[won], size[won]
+            lost = np.ones(len(keys), bool)
+            lost[won] = False
+            open_ = open_[lost[open_]]
+            place[open_] = (place[open_] + 1) & mask
+
+
 class Encoder:
     """Ids of texts for one tokenizer file; the cache lives as long as the worker."""
 
@@ -110,25 +166,7 @@ class Encoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.known = np.zeros(0, U64)
-        self.at = np.zeros(0, np.int64)
-        self.size = np.zeros(0, np.int64)
-        self.pool = np.zeros(0, np.uint32)
-
-    def _learn(self, keys: np.ndarray, pieces: list[bytes]) -> None:
-        if len(self.known) + len(keys) > CACHE_KEPT:
-            self._reset()
-        tokenize = self.model.tokenize
-        ids, size = array("I"), np.zeros(len(pieces), np.int64)
-        for k, piece in enumerate(pieces):
-            tokens = tokenize(piece.decode("latin-1").translate(_BYTE_CHARS))
-            size[k] = len(tokens)
-            ids.extend([t.id for t in tokens])
-        at = len(self.pool) + np.cumsum(size) - size
-        self.pool = np.concatenate([self.pool, np.frombuffer(ids, np.uint32)])
-        known, at, size = np.concatenate([self.known, keys]), np.concatenate([self.at, at]), np.concatenate([self.size, size])
-        order = np.argsort(known, kind="stable")
-        self.known, self.at, self.size = known[order], at[order], size[order]
+        self.cache = Cache()
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the offsets of each text's."""
@@ -150,20 +188,27 @@ class Encoder:
             starts = np.flatnonzero((buf & 0xC0) != 0x80)[begin]
         lens = np.diff(np.concatenate([starts, [len(buf)]]))
         keys = span_hash(buf, starts, lens)
-        uniq, where, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        if len(self.known) + len(uniq) > CACHE_KEPT:
-            self._reset()
-        found = np.searchsorted(self.known, uniq)
-        fresh = np.ones(len(uniq), bool)
-        inside = found < len(self.known)
-        fresh[inside] = self.known[found[inside]] != uniq[inside]
-        new = np.flatnonzero(fresh)
-        if new.size:
-            self._learn(uniq[new], [raw[a : a + n] for a, n in zip(starts[where[new]].tolist(), lens[where[new]].tolist(), strict=True)])
-            found = np.searchsorted(self.known, uniq)
-        at, size = self.at[found][inverse], self.size[found][inverse]
+        found = self.cache.find(keys)
+        lost = np.flatnonzero(found < 0)
+        if lost.size:
+            new, where = np.unique(keys[lost], return_index=True)
+            if self.cache.count + len(new) > CACHE_KEPT and self.cache.count:
+                self._reset()
+                new, where = np.unique(keys, return_index=True)
+                lost = np.arange(len(keys))
+            chars = _BYTE_UNITS[buf].tobytes().decode("utf-16-le")  # a character a byte
+            at = starts[lost[where]]
+            tokenize = self.model.tokenize
+            ids, size = array("I"), np.zeros(len(new), np.int64)
+            for k, (i, j) in enumerate(zip(at.tolist(), (at + lens[lost[where]]).tolist(), strict=True)):
+                tokens = tokenize(chars[i:j])
+                size[k] = len(tokens)
+                ids.extend([t.id for t in tokens])
+            self.cache.add(new, np.frombuffer(ids, np.uint32), size)
+            found = self.cache.find(keys)  # places move when the table grows
+        at, size = self.cache.at[found].astype(np.int64), self.cache.size[found].astype(np.int64)
         end = np.cumsum(size)
-        ids = self.pool[np.repeat(at - (end - size), size) + np.arange(end[-1])]
+        ids = self.cache.pool[np.repeat(at - (end - size), size) + np.arange(end[-1])]
         first = np.searchsorted(begin, offs)
         return ids, np.concatenate([[0], end])[first]
 
