@@ -52,6 +52,11 @@ def _clean(text_col: str) -> Column:
     return F.translate(F.coalesce(F.col(text_col), F.lit("")), MARK + INNER, PLAIN * 2)
 
 
+def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with value made once: the one element of an array is bound to a name."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def _spans(text: Column, pattern: str, replacement: str, kind: int, inner: bool = False, accept: Callable[[Column], Column] | None = None) -> Column:
     """Spans of the matches of a pattern that accept takes; an assignment counts if what follows the inner mark has 6 characters or more.
 
@@ -70,21 +75,22 @@ def _spans(text: Column, pattern: str, replacement: str, kind: int, inner: bool
     def found(pieces: Column) -> Column:
         zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), none.alias("spans"))
         groups = F.transform(F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / GROUP).cast("int")), lambda g: F.aggregate(F.slice(pieces, g * GROUP + 1, GROUP), zero, step))
+        return _bound(groups, moved)
+
+    def moved(groups: Column) -> Column:
         start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
         begins = F.aggregate(groups, start, lambda acc, g: F.struct((acc["at"] + g["at"]).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all")), lambda acc: acc["all"])
-        moved = F.zip_with(groups, begins, lambda g, at: F.transform(g["spans"], lambda x: F.struct((x["start"] + at).alias("start"), x["kind"].alias("kind"), (x["end"] + at).alias("end"))))
-        return F.flatten(moved)
+        return F.flatten(F.zip_with(groups, begins, lambda g, at: F.transform(g["spans"], lambda x: F.struct((x["start"] + at).alias("start"), x["kind"].alias("kind"), (x["end"] + at).alias("end")))))
 
-    # a one-element array binds the pieces, and then the groups, to a name, so that each is made once
-    pieces = F.array(F.split(F.regexp_replace(text, F.lit(pattern), F.lit(replacement)), MARK, -1))
-    return F.when(text.rlike(pattern), F.element_at(F.transform(pieces, found), 1)).otherwise(none)
+    pieces = F.split(F.regexp_replace(text, F.lit(pattern), F.lit(replacement)), MARK, -1)
+    return F.when(text.rlike(pattern), _bound(pieces, found)).otherwise(none)
 
 
 def _pairs(token: Column) -> Column:
     """Indexes of the pairs of characters of a token in the table of the model."""
     n = len(ALPHABET)
-    places = F.array(F.transform(F.split(token, ""), lambda c: F.instr(F.lit(ALPHABET), c)))
-    return F.element_at(F.transform(places, lambda at: F.transform(F.sequence(F.lit(1), F.length(token) - 1), lambda k: (F.element_at(at, k) - 1) * n + F.element_at(at, k + 1))), 1)
+    places = F.transform(F.split(token, ""), lambda c: F.instr(F.lit(ALPHABET), c))
+    return _bound(places, lambda at: F.zip_with(F.slice(at, 1, F.size(at) - 1), F.slice(at, 2, F.size(at)), lambda a, b: a * n + b - n))
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> list[float]:
@@ -164,16 +170,15 @@ def redact(docs: DataFrame, table: list[float], text_col: str = "text") -> DataF
             begin = F.element_at(ends, g + 1)
             zero = F.struct(begin.alias("end"), F.array().cast("array<struct<a:int,b:int>>").alias("gaps"))
             gaps = F.aggregate(of(g), zero, step, lambda acc: acc["gaps"])
-            part = F.array(F.substr(text, begin + 1, F.element_at(ends, g + 2) - begin))
-            return F.element_at(F.transform(part, lambda own: F.transform(gaps, lambda x: F.substr(own, x["a"] - begin + 1, x["b"] - x["a"]))), 1)
+            part = F.substr(text, begin + 1, F.element_at(ends, g + 2) - begin)
+            return _bound(part, lambda own: F.transform(gaps, lambda x: F.substr(own, x["a"] - begin + 1, x["b"] - x["a"])))
 
         def step(acc: Column, s: Column) -> Column:
             apart = F.array(F.struct(acc["end"].alias("a"), s["start"].alias("b")))
             return F.struct(F.greatest(acc["end"], s["end"]).alias("end"), F.when(s["start"] >= acc["end"], F.concat(acc["gaps"], apart)).otherwise(acc["gaps"]).alias("gaps"))
 
         last = lambda ends: F.array(F.substr(text, F.element_at(ends, -1) + 1, far))
-        joined = lambda ends: F.array_join(F.concat(F.flatten(F.transform(groups, lambda g: kept(g, ends))), last(ends)), REPLACEMENT)
-        return F.element_at(F.transform(F.array(ends), joined), 1)
+        return _bound(ends, lambda ends: F.array_join(F.concat(F.flatten(F.transform(groups, lambda g: kept(g, ends))), last(ends)), REPLACEMENT))
 
     new = F.when(F.size("spans") > 0, put(F.col("spans"))).otherwise(text)
     return df.select(*[(new if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns])
