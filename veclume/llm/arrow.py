@@ -11,7 +11,6 @@ this folder sets them alike, so none depends on what ran before.
 from __future__ import annotations
 
 import ctypes
-import typing
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -67,15 +66,3 @@ def over_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator
     small_batches(df.sparkSession)
     return df.mapInArrow(bounded(run), schema)
 
-
-def by_groups(df: DataFrame, key: str, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """run on each group of a key, which comes and goes in batches of bounded bytes."""
-    small_batches(df.sparkSession)
-    cut = bounded(run)
-
-    def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from cut(batches)
-
-    batches_ = typing.Iterator[pa.RecordBatch]  # Spark takes the form from these
-    group.__annotations__ = {"batches": batches_, "return": batches_}
-    return df.groupBy(key).applyInArrow(group, schema)

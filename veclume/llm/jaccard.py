@@ -53,7 +53,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veclume.llm.arrow import by_groups, over_arrow
+from veclume.llm.arrow import over_arrow
 from veclume.llm.graph import connected_components
 from veclume.llm.rows import bit_table, in_table, without
 from veclume.llm.scratch import Scratch, release
@@ -286,14 +286,16 @@ def _unplanes(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(8, -1).T).view("<i8")[:, 0]
 
 
-def _shared(packed: DataFrame) -> DataFrame:
-    """(key, doc) of the keys of two or more documents."""
+def _shared(packed: DataFrame, ranges: int) -> DataFrame:
+    """(key, doc) of the keys of two or more documents; a partition a range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, ids = [], []
         for batch in batches:
-            keys += [np.frombuffer(x.as_py(), U64) for x in batch.column("keys")]
-            ids += [_unplanes(x.as_py()) for x in batch.column("ids")]
+            keys += [np.frombuffer(x.as_py(), U64) for x in batch.column(0)]
+            ids += [_unplanes(x.as_py()) for x in batch.column(1)]
+        if not keys:
+            return
         k, d = np.concatenate(keys), np.concatenate(ids)
         keys, ids = [], []
         at = np.lexsort((d, k))
@@ -303,7 +305,7 @@ def _shared(packed: DataFrame) -> DataFrame:
         keep = same[1:] | same[:-1]
         yield pa.RecordBatch.from_arrays([pa.array(k[keep].view(np.int64)), pa.array(d[keep])], ["key", "doc"])
 
-    return by_groups(packed, "part", run, "key long, doc long")
+    return over_arrow(packed.repartitionById(ranges, F.col("part").cast("int")).select("keys", "ids"), run, "key long, doc long")
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
@@ -418,7 +420,7 @@ def _candidates(docs: DataFrame, id_col: str, text_col: str, percent: int) -> Ca
     order = spark.sparkContext.broadcast(Order(tokens[at], rank[at]))
     total = sum((light if n <= boundary else 0) + (listed if n * 100 >= percent * boundary else 0) for n, (light, listed, _) in costs.items())
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(total / RANGE_KEYS), 1)
-    shared = scratch.keep(_shared(_keys(docs, id_col, text_col, order, boundary, ranges, percent)), "shared")
+    shared = scratch.keep(_shared(_keys(docs, id_col, text_col, order, boundary, ranges, percent), ranges), "shared")
 
     # classes of equal sets (the empty set is no class), and each document's number of keys that it alone has
     classes = named.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
@@ -562,17 +564,31 @@ def component_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-def report_sql(percent: int = PERCENT) -> str:
-    """DuckDB SQL of component_report, on the words themselves: all pairs that share a shingle, then reachability."""
+def _common_sql() -> str:
+    """CTEs w (words), s (shingles), n (set sizes) and c (pairs with a common shingle) in DuckDB SQL, on the words themselves."""
     upper, low = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     words = rf"regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{low}'), '[^\x20\x09-\x0D]+')"
-    return f"""
-WITH RECURSIVE w AS (SELECT doc_id, {words} AS ws FROM documents),
+    return f"""w AS (SELECT doc_id, {words} AS ws FROM documents),
  s AS (SELECT DISTINCT doc_id, k FROM (
   SELECT doc_id, list_slice(ws, p, p + {K - 1}) AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {K - 2})) AS p FROM w WHERE len(ws) >= {K})
   UNION ALL SELECT doc_id, ws FROM w WHERE len(ws) BETWEEN 1 AND {K - 1})),
  n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
- c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM s x JOIN s y ON x.k = y.k AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+ c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM s x JOIN s y ON x.k = y.k AND x.doc_id <> y.doc_id GROUP BY 1, 2)"""
+
+
+def links_sql(percent: int = PERCENT) -> str:
+    """DuckDB SQL of link_report."""
+    return f"""
+WITH {_common_sql()},
+ e AS (SELECT a, b, common = na.n AND common = nb.n AS same, 100 * common >= {percent} * (na.n + nb.n - common) AS linked FROM c JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b)
+SELECT w.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, least(w.doc_id, coalesce(min(CASE WHEN same THEN b END), w.doc_id)) AS class_id, count(CASE WHEN linked THEN 1 END) AS n_links
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN e ON e.a = w.doc_id GROUP BY w.doc_id"""
+
+
+def report_sql(percent: int = PERCENT) -> str:
+    """DuckDB SQL of component_report: all pairs that share a shingle, then reachability."""
+    return f"""
+WITH RECURSIVE {_common_sql()},
  l AS (SELECT a, b FROM c JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * common >= {percent} * (na.n + nb.n - common)),
  r AS (SELECT doc_id, doc_id AS reached FROM w UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.reached)
 SELECT doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(reached)::BIGINT AS component_id FROM r LEFT JOIN n USING (doc_id) GROUP BY doc_id"""

@@ -26,4 +26,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": suffix.report_sql(), "op3_jaccard_join": jaccard.report_sql(), "op6_url_filters": urlrules.url_sql()}
+    return {"op1_decontamination": suffix.report_sql(), "op3_jaccard_join": jaccard.report_sql(), "jaccard_links": jaccard.links_sql(), "op6_url_filters": urlrules.url_sql()}
