@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -283,6 +284,44 @@ def test_quality(spark, odd, small, sf):
     assert quality.Bands().limits(10) == (0.0, float("inf"))
 
 
+def test_quality_limits_come_from_all_good_documents(spark, tmp_path):
+    rng = np.random.default_rng(10)
+    vocabulary = np.array(["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(60)])
+    rows = [(k, " ".join(vocabulary[rng.integers(0, 60, n)])) for k, n in enumerate([24] * 24_000 + [2_000] * 40)]
+    rare = 100_013  # a sample of 20,000 by hash left this one out
+    rows.append((rare, " ".join("".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 6)) for _ in range(24))))
+    rows += [(200_000, rows[-1][1].lower()), (200_001, "short")]  # not labelled good; fails the base
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(d, int(d != 200_000)) for d, _ in rows], "doc_id long, quality int")
+    ratio = lambda b: len(zstandard.ZstdCompressor(level=3).compress(b)) / len(b)
+    good = [t.encode() for d, t in rows if d < 200_000]
+    bands = quality.fit_bands(docs, labels)
+
+    def limits(x: list[float]) -> list[float]:
+        return [min(min(x) - quality.MARGIN, np.mean(x) - 4 * np.std(x)), max(max(x) + quality.MARGIN, np.mean(x) + 4 * np.std(x))]
+
+    chunks = [[ratio(b[k : k + 4096]) for k in range(0, len(b) - 4095, 4096)] for b in good if len(b) >= 4096]
+    assert bands.limits(167) == pytest.approx(limits([ratio(b) for b in good if len(b) == 167]), abs=1e-9)
+    assert bands.limits(13_999) == pytest.approx(limits([ratio(b) for b in good if len(b) == 13_999]), abs=1e-9)
+    assert [bands.chunk_low, bands.chunk_high] == pytest.approx(limits([f(x) for x in chunks for f in (min, max)]), abs=1e-9)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.doc_id: r.kept for r in quality.quality_report(spark, str(tmp_path)).collect()}
+    assert got[rare] and got == {d: brute.kept(t, bands) for d, t in rows}
+
+
+def test_quality_limits_take_in_the_longest_documents(spark):
+    rng = np.random.default_rng(11)
+    words = " ".join(map(str, rng.integers(10**9, 10**10, 60_000)))
+    rows = [(k, words[11 * k : 11 * k + 530_000]) for k in range(quality.LEAST_FIT)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    bands = quality.fit_bands(docs, docs.selectExpr("doc_id", "1 AS quality"))
+    x = [r.ratio for r in quality.measure(docs, bands=bands).where("kept").collect()]
+    away = 4 * np.std(x)
+    assert len(x) == len(rows) and len(words) > 530_000 + 11 * len(rows)
+    assert bands.limits(1 << 22) == bands.limits(530_000) == pytest.approx((min(min(x) - quality.MARGIN, np.mean(x) - away), max(max(x) + quality.MARGIN, np.mean(x) + away)), abs=1e-9)
+
+
 def test_language(spark, odd, small, sf):
     got = queries()["op5_language_id"](spark, sf).join(small.select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert sum(r.lang == r.lang_pred for r in got) >= 0.93 * len(got)
